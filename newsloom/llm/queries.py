@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, line_dedup, packing, quality, sentencepiece_codec
+from . import jaccard, line_dedup, packing, pii, quality, sentencepiece_codec
 from .common import table
 
 
@@ -30,12 +30,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.anonymise(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
     "op8_line_dedup": op8_line_dedup,
+    "op9_pii_surrogates": op9_pii_surrogates,
 }
 
 ORACLE_SQL: dict[str, str] = {}
