@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, language, line_dedup, packing, pii, quality, sentencepiece_codec
+from . import jaccard, language, line_dedup, packing, pii, quality, sentencepiece_codec, urls
 from .common import table
 
 
@@ -18,6 +18,13 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list stands for a supplied one and grows with the pages: the URLs of the hosts of an
+    advertising network and of every 20th page, in whatever spelling these have."""
+    pages = table(spark, sf_dir, "pages")
+    return urls.match(pages, pages.filter("url like '%ads-track%' or page_id % 20 = 0"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"))
 
@@ -41,6 +48,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op4_url_filter": op4_url_filter,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
     "op8_line_dedup": op8_line_dedup,
@@ -48,4 +56,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_url_filter": f"""
+        with forms as (select page_id, url, {urls.canonical_sql("url")} as canonical from pages),
+        listed as (select distinct canonical from forms where (url like '%ads-track%' or page_id % 20 = 0) and canonical is not null)
+        select page_id, url, canonical, coalesce(canonical in (select canonical from listed), false) as listed from forms""",
+}
