@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import html_extract, jaccard, language, line_dedup, packing, pii, quality, sentencepiece_codec, urls
+from . import html_extract, jaccard, language, line_dedup, media, media_column, packing, pii, quality, sentencepiece_codec, urls
 from .common import table
 
 
@@ -18,6 +19,11 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = media_column.column(table(spark, sf_dir, "pages"))
+    return media.inspect(values, "page_id", F.col("content"), F.col("declared"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list stands for a supplied one and grows with the pages: the URLs of the hosts of an
     advertising network and of every 20th page, in whatever spelling these have."""
@@ -52,6 +58,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_media_columns": op3_media_columns,
     "op4_url_filter": op4_url_filter,
     "op5_html_extraction": op5_html_extraction,
     "op6_quality_rules": op6_quality_rules,
