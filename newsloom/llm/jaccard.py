@@ -118,37 +118,56 @@ def _sign(n: int):
     return run
 
 
+def overlaps(pairs: np.ndarray, sets: dict[int, set]) -> np.ndarray:
+    """The sizes of the intersections of pairs of sets. Where many pairs share few sets, as a
+    product of matrices of zeros and ones, a stretch of columns at a time; exact either way."""
+    nodes = np.unique(pairs)
+    numbers: dict[tuple, int] = {}
+    found = {int(i): np.fromiter((numbers.setdefault(g, len(numbers)) for g in sets[int(i)]), np.int64) for i in nodes}
+    if len(pairs) < 8 * len(nodes):
+        whole = {i: set(x.tolist()) for i, x in found.items()}
+        return np.array([len(whole[int(a)] & whole[int(b)]) for a, b in pairs], np.int64)
+    row = np.repeat(np.arange(len(nodes)), [len(found[int(i)]) for i in nodes])
+    column = np.concatenate([found[int(i)] for i in nodes])
+    x, y = np.searchsorted(nodes, pairs[:, 0]), np.searchsorted(nodes, pairs[:, 1])
+    both = np.zeros((len(nodes), len(nodes)), np.float64)
+    for at in range(0, len(numbers), 4096):
+        inside = (column >= at) & (column < at + 4096)
+        part = np.zeros((len(nodes), min(4096, len(numbers) - at)), np.float32)
+        part[row[inside], column[inside] - at] = 1
+        both += part @ part.T
+    return both[x, y].astype(np.int64)
+
+
 def _verify(n: int, threshold: float, tolerance: float):
-    def decide(pairs: list[tuple[int, int]], signs: dict[int, np.ndarray], texts: dict[int, str]) -> Iterator[tuple[int, int, float]]:
-        least = least_matches(threshold, tolerance)
-        sets: dict[int, set] = {}
-        for at in range(0, len(pairs), 4096):
-            part = np.array(pairs[at : at + 4096], dtype=object)
-            x = np.stack([signs[a] for a in part[:, 0]])
-            y = np.stack([signs[b] for b in part[:, 1]])
-            equal = np.zeros(len(part), int)
-            alive = np.arange(len(part))
-            for step, fewest in enumerate(least):
-                cols = slice(step * STEP, (step + 1) * STEP)
-                equal[alive] += (x[alive, cols] == y[alive, cols]).sum(1)
-                alive = alive[equal[alive] >= fewest]
-            for k in alive:
-                a, b = part[k]
-                for i in (a, b):
-                    if i not in sets:
-                        sets[i] = ngrams(texts[i], n)
-                both = len(sets[a] & sets[b])
-                j = both / (len(sets[a]) + len(sets[b]) - both)
-                if j >= threshold:
-                    yield a, b, j
+    least = least_matches(threshold, tolerance)
+
+    def decide(pairs: list[tuple[int, int]], signs: dict[int, np.ndarray], texts: dict[int, str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        part = np.array(pairs, np.int64)
+        nodes = np.fromiter(sorted(signs), np.int64, len(signs))
+        every = np.stack([signs[int(i)] for i in nodes])
+        x, y = np.searchsorted(nodes, part[:, 0]), np.searchsorted(nodes, part[:, 1])
+        equal = np.zeros(len(part), np.int32)
+        alive = np.arange(len(part))
+        for step, fewest in enumerate(least):
+            columns = every[:, step * STEP : (step + 1) * STEP]
+            equal[alive] += (columns[x[alive]] == columns[y[alive]]).sum(1, dtype=np.int32)
+            alive = alive[equal[alive] >= fewest]
+        if not len(alive):
+            return
+        part = part[alive]
+        sets = {int(i): ngrams(texts[int(i)], n) for i in np.unique(part)}
+        both = overlaps(part, sets)
+        sizes = [np.fromiter((len(sets[int(i)]) for i in part[:, k]), np.int64, len(part)) for k in (0, 1)]
+        similar = both / (sizes[0] + sizes[1] - both)
+        good = similar >= threshold
+        yield part[good, 0], part[good, 1], similar[good]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, pairs, signs, texts = None, [], {}, {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            found = list(decide(pairs, signs, texts))
-            if found:
-                a, b, j = zip(*found)
+            for a, b, j in decide(pairs, signs, texts) if pairs else ():
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(j, pa.float64())], ["a", "b", "jaccard"])
 
         for batch in batches:
