@@ -19,7 +19,6 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +66,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Codec:
     """A SentencePiece model: ``encode`` a text to ids, ``decode`` ids to a text."""
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 1_000_000):
         with open(path, "rb") as f:
             message = f.read()
         self.pieces: list[tuple[str, float, int]] = []
@@ -108,7 +107,10 @@ class Codec:
         self.low = min(self.scores.values(), default=0.0) - 10.0
         if self.kind == MERGES:
             self.stable = {p for p in self.ids if self.merged(p) == [p]}
-            self.pairs = _Pairs(self, 1 << 20)
+            self.pairs = _Pairs(self, 1 << 19)
+            self.reach: dict[str, int] = {}  # by last two characters, the longest piece
+            for p in self.stable:
+                self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 1))
         self.whole_words = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.known = _Known(self, remembered)
         self.texts = [self._text(i) for i in range(len(self.pieces))]
@@ -127,24 +129,35 @@ class Codec:
                 return parts
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
 
-    def short(self, word: str) -> list[str]:
-        """The pieces of a word of a model of merges, as ``stream`` gives them, without the
-        look for meetings, which for a short word cost more than they save."""
-        n, stable, pairs, longest = len(word), self.stable, self.pairs, self.longest
-        last = [""] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(i - longest if i > longest else 0, i):
-                piece = word[j:i]
-                if piece in stable and (not j or pairs[last[j], piece]):
-                    last[i] = piece
-                    break
-            else:
-                last[i] = word[i - 1]
-        out = []
-        while n:
-            out.append(last[n])
-            n -= len(last[n])
-        return out[::-1]
+    def learn(self, words: list[str]) -> None:
+        """Remember the ids of words of a model of merges. The words are taken in sorted order,
+        and the forward pass goes on from the beginning that a word shares with the one before:
+        the last piece of a prefix doesn't depend on what follows."""
+        stable, pairs, reach, known = self.stable, self.pairs, self.reach, self.known
+        before, last = "", [""]
+        for word in sorted(words):
+            i, most = 0, min(len(word), len(before))
+            while i < most and word[i] == before[i]:
+                i += 1
+            del last[i + 1 :]
+            for i in range(i + 1, len(word) + 1):
+                first = i - reach.get(word[i - 2 : i], 1) if i > 1 else 0
+                for j in range(first if first > 0 else 0, i):
+                    piece = word[j:i]
+                    if piece in stable and (not j or pairs[last[j], piece]):
+                        last.append(piece)
+                        break
+                else:
+                    last.append(word[i - 1])
+            before, n, out = word, len(word), []
+            while n:
+                out.append(last[n])
+                n -= len(last[n])
+            known[word] = self._packed(self._ids(reversed(out)))
+
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}i", *ids)
 
     def stream(self, text: str) -> Iterator[str]:
         """The pieces of a text, each given out as soon as no later character can change it."""
@@ -221,13 +234,24 @@ class Codec:
                 out.append(self.unknown)
         return out
 
+    def words(self, text: str) -> list[str]:
+        """The text cut where no piece goes across."""
+        text = ((SPACE if self.prefix else "") + text).replace(" ", SPACE) if text else ""
+        return _WORDS.findall(text) if self.whole_words else [text]
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [self.words(text) for text in texts]
+        known = self.known
+        if self.kind == MERGES:
+            new = [w for w in set().union(*cut) if w not in known and len(w) <= 64]
+            if len(known) + len(new) > known.most:
+                known.clear()
+                new = [w for w in set().union(*cut) if len(w) <= 64]
+            self.learn(new)
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4") for words in cut]
+
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        text = ((SPACE if self.prefix else "") + text).replace(" ", SPACE)
-        if not self.whole_words:
-            return self._ids(self.stream(text))
-        return list(chain.from_iterable(map(self.known.__getitem__, _WORDS.findall(text))))
+        return self.encode_batch([text])[0].tolist()
 
     def _text(self, i: int) -> bytes:
         piece, _, kind = self.pieces[i]
@@ -246,15 +270,15 @@ _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
 class _Known(dict):
-    """Ids by word. Words over 64 characters are not remembered; a full table is emptied."""
+    """Ids by word, packed. Words over 64 characters are not remembered."""
 
     def __init__(self, codec: Codec, most: int):
         super().__init__()
         self.codec, self.most = codec, most
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
         c = self.codec
-        ids = tuple(c._ids(c.short(word) if c.kind == MERGES and len(word) <= 64 else c.stream(word)))
+        ids = c._packed(c._ids(c.stream(word)))
         if len(word) <= 64:
             if len(self) >= self.most:
                 self.clear()
@@ -281,17 +305,15 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _encode(model: str, check: bool):
+def _encode(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for batch in small_batches(batches, "text", 4 << 20):
-            offsets, parts, same = [0], [], []
-            for text in batch.column("text").to_pylist():
-                ids = c.encode(text) if text else []
-                parts.append(np.array(ids, np.int32))
-                offsets.append(offsets[-1] + len(ids))
-                same.append(None if text is None else c.decode(ids) == text)
-            values = pa.array(np.concatenate(parts) if parts else np.array([], np.int32))
+            texts = batch.column("text").to_pylist()
+            parts = c.encode_batch([text or "" for text in texts])
+            offsets = [0, *np.cumsum([len(x) for x in parts]).tolist()]
+            same = [None if text is None else c.decode(ids.tolist()) == text for text, ids in zip(texts, parts)]
+            values = pa.array(np.concatenate(parts).astype(np.int32))
             nulls = pa.array([x is None for x in same] + [False], pa.bool_())
             at = pa.array(offsets, pa.int32(), mask=np.array(nulls))
             lists = pa.ListArray.from_arrays(at, values)
@@ -309,7 +331,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     false. Repeated rows all come back; an empty table gives an empty result; other columns are
     not looked at and don't come back."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(_encode(model, True), "doc_id long, ids array<int>, round_trip boolean")
+    out = rows.mapInArrow(_encode(model), "doc_id long, ids array<int>, round_trip boolean")
     return out.select("doc_id", "ids", F.when(F.col("ids").isNotNull(), F.size("ids")).alias("n_ids"), "round_trip")
 
 
