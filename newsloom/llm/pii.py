@@ -12,7 +12,9 @@ secrets and names of persons - get replacements that are
   again with the next counter until none is left. That check is a distributed aggregation over
   the distinct entities.
 
-Only documents that a pattern says may hold an entity leave the JVM or are shuffled.
+Texts are looked at once: number patterns where there is a digit, address patterns where there is
+an @, names where an Aho-Corasick automaton of titles and first names finds a beginning. The
+replacements are joined to the texts by a hash of these, broadcast where they are counted to be few.
 """
 
 from __future__ import annotations
@@ -23,12 +25,14 @@ import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, row_key, small_batches
+from .common import joined_side, materialise, row_key, small_batches
 
 KEY = b"newsloom surrogates"
 ROUNDS = 64
@@ -58,15 +62,25 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d]|-\d)",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4}|(?<=\d[ .-])\d{2,4}(?:[ .-]\d{2,4}){2,3})(?![\w])|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\w])",
-    "person": rf"\b(?:(?P<title>{_MALE_TITLES}|{_FEMALE_TITLES}|Dr|Prof)\.?[ ]+(?P<titled>{_CAP}(?:[ ]+{_CAP})?)|(?P<named>(?:{_NAMES})[ ]+{_CAP}))",
+    "person": rf"(?:(?P<title>{_MALE_TITLES}|{_FEMALE_TITLES}|Dr|Prof)\.?[ ]+(?P<titled>{_CAP}(?:[ ]+{_CAP})?)|(?P<named>(?:{_NAMES})[ ]+{_CAP}))",
 }
-_ANY = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
-#: Every text with an entity matches this, which is cheap: what all the patterns need.
-MAY_HOLD = rf"[0-9@]|\b(?:{_MALE_TITLES}|{_FEMALE_TITLES}|Dr|Prof)\.? +\p{{Lu}}|\b(?:{_NAMES}) +\p{{Lu}}"
+_EMAIL, _SECRET, _PERSON = (re.compile(PATTERNS[k]) for k in ("email", "secret", "person"))
+_NUMBERS = re.compile("|".join(f"(?P<{k}>{PATTERNS[k]})" for k in ("iban", "ip", "ssn", "card", "phone")))
+_DIGIT = re.compile("[0-9]")
 _TITLE_M = re.compile(rf"(?:{_MALE_TITLES})\Z")
 _TITLE_F = re.compile(rf"(?:{_FEMALE_TITLES})\Z")
 
 
+@lru_cache(1)
+def _starts() -> ahocorasick.Automaton:
+    """Where a person's name can begin: the titles and the first names, all at once."""
+    found = ahocorasick.Automaton()
+    for word in {*MALE, *FEMALE, *_MALE_TITLES.split("|"), *_FEMALE_TITLES.split("|"), "Dr", "Prof"}:
+        found.add_word(word, len(word))
+    found.make_automaton()
+    return found
+
+
 def script_of(word: str) -> str:
     for c in word:
         if c.isalpha():
@@ -80,33 +94,47 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     wherever it stands alone in the same text."""
     found: list[tuple[int, int, str, str]] = []
     parts: dict[str, str] = {}
-    for m in _ANY.finditer(text):
-        kind, start, end, value = m.lastgroup, m.start(), m.end(), m.group()
-        kind = next(k for k in PATTERNS if m.group(k) is not None)
-        if kind == "secret":
-            group = "value" if m.group("value") is not None else "known"
-            start, end = m.span(group)
-            found.append((start, end, kind, text[start:end]))
-        elif kind == "ip":
-            if all(int(x) < 256 for x in value.split(".")) if "." in value else True:
-                found.append((start, end, kind, value.lower()))
-        elif kind == "email":
-            found.append((start, end, kind, value.lower()))
-        elif kind == "person":
-            group = "titled" if m.group("titled") else "named"
-            words = list(re.finditer(_CAP, m.group(group)))
-            title = m.group("title") or ""
-            first = words[0].group().lower()
-            gender = "f" if _TITLE_F.match(title) or first in _W else "m" if _TITLE_M.match(title) or first in _M else "n"
-            for k, w in enumerate(words):
-                given = k == 0 and (len(words) > 1 or first in _M or first in _W)
-                what = f"{'first.' + gender if given else 'last'}.{script_of(w.group())}"
-                at = m.start(group) + w.start()
-                found.append((at, at + len(w.group()), what, w.group().lower()))
-                parts.setdefault(w.group(), what)
-                parts.setdefault(w.group().upper(), what)
-        else:
-            found.append((start, end, kind, re.sub(r"[^0-9A-Za-z+]", "", value)))
+    if "@" in text:
+        found += [(m.start(), m.end(), "email", m.group().lower()) for m in _EMAIL.finditer(text)]
+    if _DIGIT.search(text):
+        for m in _SECRET.finditer(text):
+            start, end = m.span("value" if m.group("value") is not None else "known")
+            found.append((start, end, "secret", text[start:end]))
+        for m in _NUMBERS.finditer(text):
+            kind, value = m.lastgroup, m.group()
+            if kind != "ip":
+                found.append((*m.span(), kind, re.sub(r"[^0-9A-Za-z+]", "", value)))
+            elif ":" in value or all(int(x) < 256 for x in value.split(".")):
+                found.append((*m.span(), kind, value.lower()))
+    done = 0
+    for last, n in _starts().iter(text):
+        at = last + 1 - n
+        if at < done or (at and text[at - 1].isalnum()):
+            continue
+        m = _PERSON.match(text, at)
+        if m is None:
+            continue
+        done = m.end()
+        group = "titled" if m.group("titled") else "named"
+        words = list(re.finditer(_CAP, m.group(group)))
+        title = m.group("title") or ""
+        first = words[0].group().lower()
+        gender = "f" if _TITLE_F.match(title) or first in _W else "m" if _TITLE_M.match(title) or first in _M else "n"
+        for k, w in enumerate(words):
+            given = k == 0 and (len(words) > 1 or first in _M or first in _W)
+            what = f"{'first.' + gender if given else 'last'}.{script_of(w.group())}"
+            at = m.start(group) + w.start()
+            found.append((at, at + len(w.group()), what, w.group().lower()))
+            parts.setdefault(w.group(), what)
+            parts.setdefault(w.group().upper(), what)
+    # of overlapping entities the one that begins first counts, then the longest
+    found.sort(key=lambda x: (x[0], -x[1]))
+    free, kept = 0, []
+    for x in found:
+        if x[0] >= free:
+            kept.append(x)
+            free = x[1]
+    found = kept
     if parts:
         taken = [(a, b) for a, b, _, _ in found]
         for m in re.finditer(r"\b(?:" + "|".join(map(re.escape, sorted(parts, key=len, reverse=True))) + r")\b", text):
@@ -261,11 +289,13 @@ def surrogates(entities: DataFrame, key: bytes = KEY) -> DataFrame:
 
 def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, "__newsloom_text"):
-        texts = []
-        for text, pairs in zip(batch.column("__newsloom_text").to_pylist(), batch.column("__newsloom_map").to_pylist()):
-            texts.append(replace(text, {(p["kind"], p["canonical"]): p["new"] for p in pairs}) if pairs else text)
-        rest = [batch.column(c) for c in batch.schema.names[:-1]]
-        yield pa.RecordBatch.from_arrays([*rest[:-1], pa.array(texts, pa.string())], batch.schema.names[:-1])
+        texts = batch.column("__newsloom_text")
+        maps = batch.column("__newsloom_map")
+        if maps.null_count < len(maps):
+            pairs = maps.to_pylist()
+            texts = pa.array([text if p is None else replace(text, {(x["kind"], x["canonical"]): x["new"] for x in p}) for text, p in zip(texts.to_pylist(), pairs)], pa.string())
+        rest = [batch.column(c) for c in batch.schema.names[:-2]]
+        yield pa.RecordBatch.from_arrays([*rest, texts], batch.schema.names[:-1])
 
 
 def anonymise(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
@@ -274,15 +304,12 @@ def anonymise(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> Data
     Null and empty texts stay; a text without entities stays as it is, byte for byte. Repeated
     rows get the same replacements. An empty table stays empty. Other columns are passed on
     unread; names that start with __newsloom are reserved."""
-    may = F.coalesce(F.col(text_col).rlike(MAY_HOLD), F.lit(False))
-    some = docs.filter(may)
-    mentions = materialise(some.select(row_key(text_col).alias("tie"), F.col(text_col).alias("text")).mapInArrow(_mentions, "tie long, kind string, canonical string").distinct(), "mentions")
+    tie = row_key(text_col)
+    texts = docs.select(tie.alias("tie"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
+    mentions = materialise(texts.mapInArrow(_mentions, "tie long, kind string, canonical string").distinct(), "mentions")
     new = surrogates(mentions.select("kind", "canonical").distinct(), key)
-    maps = mentions.join(new, ["kind", "canonical"]).groupBy("tie").agg(F.collect_list(F.struct("kind", "canonical", "new")).alias("__newsloom_map"))
-    tagged = some.withColumn("__newsloom_tie", row_key(text_col)).join(maps.withColumnRenamed("tie", "__newsloom_tie"), "__newsloom_tie", "left")
-    others = [c for c in docs.columns if c != text_col]
-    quoted = [F.col(f"`{c}`") for c in others]
-    rows = tagged.select(*quoted, F.col(text_col).alias("__newsloom_text"), "__newsloom_map")
+    maps = mentions.join(new, ["kind", "canonical"]).groupBy(F.col("tie").alias("__newsloom_tie")).agg(F.collect_list(F.struct("kind", "canonical", "new")).alias("__newsloom_map"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    rows = docs.join(joined_side(materialise(maps, "maps")), tie == F.col("__newsloom_tie"), "left").select(*others, F.col(text_col).alias("__newsloom_text"), "__newsloom_map")
     schema = rows.drop("__newsloom_map").schema
-    replaced = rows.mapInArrow(_replace, schema).withColumnRenamed("__newsloom_text", text_col).select(docs.columns)
-    return docs.filter(~may).union(replaced)
+    return rows.mapInArrow(_replace, schema).withColumnRenamed("__newsloom_text", text_col).select(docs.columns)
