@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,8 +45,10 @@ def _remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def map_rows(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+def joined_side(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """A written table as the smaller side of a join with texts: broadcast where it is counted to
+    be small, else the built side of a shuffled hash join, which needs no sort of the texts."""
+    return F.broadcast(df) if df.count() <= most_rows else df.hint("shuffle_hash")
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
