@@ -76,16 +76,11 @@ def position_score(i: Column, n: Column) -> Column:
     return out.otherwise(F.lit(0.0))
 
 
-def title_score(title: Column, words: Column) -> Column:
-    """Words of a sentence that the title has, by the title's length; null for an empty title."""
-    return F.size(F.filter(words, lambda w: F.array_contains(title, w))) / F.nullif(F.size(title), F.lit(0))
-
-
 def format_bytes(n: Column) -> Column:
     """One decimal and a unit to base 1024; null from 1024 TB on."""
     out = F.when(n < 1024, F.format_string("%.1f bytes", n.cast("double")))
     for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = out.when(n < 1024 ** (k + 1), F.format_string(f"%.1f {unit}", n / F.lit(float(1024**k))))
+        out = out.when(n < 1024 ** (k + 1), F.format_string(f"%.1f {unit}", F.bround(n / F.lit(float(1024**k)), 1)))
     return out
 
 
@@ -133,7 +128,11 @@ def cosine(a: Column, b: Column) -> Column:
 
 def weighted(parts: list[tuple[Column, float]]) -> Column:
     """Feature vectors one after the other, each by its weight."""
-    return F.concat(*[F.transform(v, lambda x, w=w: x.cast("double") * w) for v, w in parts])
+
+    def times(vector: Column, weight: float) -> Column:
+        return F.transform(vector, lambda x: x.cast("double") * weight)
+
+    return F.concat(*[times(v, w) for v, w in parts])
 
 
 def natural_date(at: Column, now: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import STOP_WORDS, position_score, sentence_length_score, sentences, title_score, tokens
+from ..functions.text import STOP_WORDS, position_score, sentence_length_score, sentences, tokens
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -20,7 +20,9 @@ def keywords(docs: DataFrame, id_col: str = "id", text_col: str = "text", k: int
     """(id, word, weight): the k most frequent words without stop words, ties in alphabetical order;
     1.5 times the share of all words, plus 1."""
     total = F.size(F.filter(F.split(F.trim(F.regexp_replace(text_col, r"[^\p{L}\p{N}_ ]", "")), " +"), lambda w: F.length(w) > 0))
-    words = docs.select(F.col(id_col).alias("id"), total.alias("total"), F.explode(tokens(F.col(text_col))).alias("word"))
+    # the total is made before the words are exploded: beside explode it would be made for each word
+    totals = docs.select(F.col(id_col).alias("id"), total.alias("total"), tokens(F.col(text_col)).alias("words"))
+    words = totals.select("id", "total", F.explode("words").alias("word"))
     counts = words.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"), F.first("total").alias("total"))
     best = counts.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.col("n").desc(), "word"))).filter(F.col("rank") <= k)
     return best.select("id", "word", (F.col("n") / F.col("total") * 1.5 + 1).alias("weight"))
@@ -33,22 +35,45 @@ def sentence_rows(docs: DataFrame, id_col: str = "id", text_col: str = "text") -
     return each.select("id", (F.col("pos") + 1).alias("pos"), "n", "sentence", tokens(F.col("sentence")).alias("words"))
 
 
+def sentence_features(docs: DataFrame, id_col: str = "id", title_col: str = "title", text_col: str = "text") -> DataFrame:
+    """(id, pos, n, sentence, words, title_score, length_score, position_score, sbs, dbs).
+
+    A row for each word meets the document's keywords and its title's words by equi-joins on the
+    document and the word, so long sentences and titles cost no more than their length."""
+    rows = sentence_rows(docs, id_col, text_col)
+    words = rows.select("id", "pos", F.posexplode("words").alias("i", "word"))
+    title = docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(title_col))).alias("word"))
+    title_size = title.groupBy("id").agg(F.count(F.lit(1)).alias("title_size"))
+    found = words.join(keywords(docs, id_col, text_col), ["id", "word"], "left").join(title.distinct().withColumn("in_title", F.lit(1)), ["id", "word"], "left")
+    before = F.last(F.when(F.col("weight").isNotNull(), F.struct("i", "weight")), ignorenulls=True).over(Window.partitionBy("id", "pos").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    pair = F.col("weight") * F.col("before.weight") / F.pow(F.col("i") - F.col("before.i"), F.lit(2))
+    sums = found.withColumn("before", before).groupBy("id", "pos").agg(
+        F.count("in_title").alias("in_title"),
+        F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weights"),
+        F.coalesce(F.sum(pair), F.lit(0.0)).alias("pairs"),
+        (F.count_distinct(F.when(F.col("weight").isNotNull(), F.col("word"))) + 1).alias("k"),
+    )
+    every = rows.select("id", "pos", "n", "sentence", F.size("words").alias("words")).join(sums, ["id", "pos"], "left").join(title_size, "id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return every.select(
+        "id",
+        "pos",
+        "n",
+        "sentence",
+        "words",
+        (F.coalesce("in_title", F.lit(0)) / F.col("title_size")).alias("title_score"),
+        sentence_length_score(F.col("words")).alias("length_score"),
+        position_score(F.col("pos"), F.col("n")).alias("position_score"),
+        zero(F.try_divide("weights", "words") / 10).alias("sbs"),
+        zero(F.col("pairs") / (F.col("k") * (F.col("k") + 1))).alias("dbs"),
+    )
+
+
 def sentence_scores(docs: DataFrame, id_col: str = "id", title_col: str = "title", text_col: str = "text") -> DataFrame:
-    """(id, pos, sentence, score). A sentence's keywords arrive as one small map for each document,
-    so its features are expressions over arrays; the only shuffles are by document."""
-    weights = keywords(docs, id_col, text_col).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("weights"))
-    rows = sentence_rows(docs, id_col, text_col).join(docs.select(F.col(id_col).alias("id"), tokens(F.col(title_col)).alias("title")), "id").join(weights, "id", "left")
-    rows = rows.withColumn("weights", F.coalesce("weights", F.create_map().cast("map<string,double>")))
-    weight = lambda w: F.coalesce(F.try_element_at("weights", w), F.lit(0.0))
-    n = F.size("words")
-    sbs = F.when(n == 0, 0.0).otherwise(F.aggregate("words", F.lit(0.0), lambda a, w: a + weight(w)) / n / 10)
-    hits = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), weight(w).alias("x"))), lambda h: h["x"] > 0)
-    rows = rows.withColumn("hits", hits)
-    pairs = F.zip_with(F.slice("hits", 1, F.greatest(F.size("hits") - 1, F.lit(0))), F.slice("hits", 2, F.greatest(F.size("hits") - 1, F.lit(0))), lambda a, b: a["x"] * b["x"] / F.pow(b["i"] - a["i"], F.lit(2)))
-    distinct = F.size(F.array_intersect("words", F.map_keys("weights"))) + 1
-    dbs = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / (distinct * (distinct + 1))
-    total = (F.coalesce(title_score(F.col("title"), F.col("words")), F.lit(0.0)) * 1.5 + (sbs + dbs) / 2 * 10 * 2 + sentence_length_score(n) + position_score(F.col("pos"), F.col("n"))) / 4
-    return rows.select("id", "pos", "sentence", F.round(total, 9).alias("score"))
+    """(id, pos, sentence, score)."""
+    c = F.col
+    total = (F.coalesce("title_score", F.lit(0.0)) * 1.5 + (c("sbs") + c("dbs")) / 2 * 10 * 2 + c("length_score") + c("position_score")) / 4
+    return sentence_features(docs, id_col, title_col, text_col).select("id", "pos", "sentence", F.round(total, 9).alias("score"))
 
 
 def summarize(docs: DataFrame, id_col: str = "id", title_col: str = "title", text_col: str = "text", length: int = 5) -> DataFrame:
