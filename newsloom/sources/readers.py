@@ -23,7 +23,9 @@ def read_feeds(spark: SparkSession, path: str, row_tag: str = "item") -> DataFra
 
 def feed_errors(entries: DataFrame) -> DataFrame:
     """(feed, errors) to add to a feed's count."""
-    return entries.groupBy("feed").agg(F.count("_corrupt_record").alias("errors"))
+    # Spark refuses to read the corrupt column alone, so the title comes along
+    broken = F.length(F.concat(F.coalesce("_corrupt_record", F.lit("")), F.left(F.coalesce("title", F.lit("")), F.lit(0)))) > 0
+    return entries.groupBy("feed").agg(F.count_if(broken).alias("errors"))
 
 
 def read_dump(spark: SparkSession, path: str, tag: str = "page", schema: str = DUMP_SCHEMA) -> DataFrame:
@@ -92,6 +94,6 @@ def decode(data: Column, charset: Column) -> Column:
     """Bytes as text: by a byte-order mark, else as UTF-8 where that is valid, else by the declared
     character set, else as Latin-1."""
     utf8 = F.when(F.is_valid_utf8(data.cast("string")), data.cast("string"))
-    declared = F.when(F.lower(charset).isin("iso-8859-1", "latin-1", "windows-1252", "us-ascii"), F.decode(data, F.lit("ISO-8859-1"))).when(F.lower(charset).startswith("utf-16"), F.decode(data, F.lit("UTF-16")))
-    marked = F.when(F.hex(F.substr(data, F.lit(1), F.lit(2))).isin("FEFF", "FFFE"), F.decode(data, F.lit("UTF-16")))
-    return F.coalesce(marked, utf8, declared, F.decode(data, F.lit("ISO-8859-1")))
+    declared = F.when(F.lower(charset).isin("iso-8859-1", "latin-1", "windows-1252", "us-ascii"), F.decode(data, "ISO-8859-1")).when(F.lower(charset).startswith("utf-16"), F.decode(data, "UTF-16"))
+    marked = F.when(F.substring(F.hex(data), 1, 4).isin("FEFF", "FFFE"), F.decode(data, "UTF-16"))
+    return F.coalesce(marked, utf8, declared, F.decode(data, "ISO-8859-1"))
