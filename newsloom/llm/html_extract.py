@@ -16,8 +16,9 @@ Importance, from 0 (the same on all pages: navigation, notices) to 1 (different
   way alone, every element sends its weighted importance to its ancestors, and one aggregation
   gives all composite importances, at any depth.
 
-Of each page, the branches whose composite importance is below ``KEEP_AT`` are left out; what
-stays is the text, a line for each block.
+Of each page, the branches of which each element has a composite importance below ``KEEP_AT`` are
+left out: an important element keeps what it stands in, not what stands beside it. What stays is
+the text, a line for each block.
 """
 
 from __future__ import annotations
@@ -197,14 +198,14 @@ def importances(rows: DataFrame) -> DataFrame:
 
 
 def render(page: str, noisy: set[int]) -> str:
-    """The text of a page without the branches in ``noisy``."""
+    """The text of a page without the branches that are ``noisy`` throughout: these are the ones of
+    whose texts each is, so what is noisy is left out at the texts."""
     out: list[str] = []
 
     def lay(node: Node, key: int) -> None:
-        if key in noisy:
-            return
         if node.text is not None:
-            out.append(node.text)
+            if key not in noisy:
+                out.append(node.text)
             return
         block = node.tag not in _INLINE
         if block or node.tag == "br":

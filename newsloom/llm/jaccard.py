@@ -273,8 +273,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     key = row_key(id_col, text_col)
     gone = fates.select(F.col("tie").alias("__newsloom_tie"))
     kept = docs.join(gone.hint("shuffle_hash"), key == F.col("__newsloom_tie"), "left_anti")
-    again = fates.filter("stays").select("tie")
+    again = fates.filter("stays").select(F.col("tie").alias("__newsloom_again"))
     if not again.take(1):
         return kept
-    repeated = docs.withColumn("__newsloom_key", key).join(again, F.col("__newsloom_key") == F.col("tie"), "left_semi")
+    repeated = docs.withColumn("__newsloom_key", key).join(again, F.col("__newsloom_key") == F.col("__newsloom_again"), "left_semi")
     return kept.union(repeated.dropDuplicates(["__newsloom_key"]).select(docs.columns))
