@@ -73,4 +73,16 @@ ORACLE_SQL: dict[str, str] = {
         with forms as (select page_id, url, {urls.canonical_sql("url")} as canonical from pages),
         listed as (select distinct canonical from forms where (url like '%ads-track%' or page_id % 20 = 0) and canonical is not null)
         select page_id, url, canonical, coalesce(canonical in (select canonical from listed), false) as listed from forms""",
+    "op8_line_dedup": """
+        with lines as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as k from documents),
+        worded as (select *, doc_id * 1048576 + k as pos, list_sort(list_distinct(list_filter(regexp_split_to_array(line, '\\s+'), lambda w: w <> ''))) as words from lines),
+        sets as (select words, min(pos) as pos, len(words) as n from worded where len(words) > 0 group by words),
+        terms as (select pos, n, unnest(words) as word from sets),
+        ranked as (select pos, n, word, row_number() over (partition by pos order by f, word) as r from terms join (select word, count(*) as f from terms group by word) using (word)),
+        prefixes as (select * from ranked where r <= n - ceil(0.8 * n - 1e-9) + 1),
+        pairs as (select distinct a.pos as x, b.pos as y from prefixes a join prefixes b on a.word = b.word and b.pos < a.pos and least(a.n, b.n) >= (0.8 - 1e-9) * greatest(a.n, b.n)),
+        matched as (select x from (select x, a.n as n, b.n as m, len(list_intersect(a.words, b.words)) as common from pairs join sets a on a.pos = x join sets b on b.pos = y) where common >= (0.8 - 1e-9) * (n + m - common)),
+        kept as (select w.doc_id, w.k, w.line from worded w left join sets s on s.words = w.words where len(w.words) = 0 or (w.pos = s.pos and w.pos not in (select x from matched)))
+        select d.doc_id, case when d.text is not null then coalesce(t.text, '') end as text, d.lang, d.source, d.n_chars
+        from documents d left join (select doc_id, string_agg(line, chr(10) order by k) as text from kept group by doc_id) t using (doc_id)""",
 }
