@@ -168,3 +168,14 @@ def auth_id(provider: Column, provider_id: Column) -> Column:
 
 def allowed_file(name: Column, extensions: list[str]) -> Column:
     return F.contains(name, F.lit(".")) & F.substring_index(name, ".", -1).isin(extensions)
+
+
+def json_count(payload: Column, path: str) -> Column:
+    """A counter of a social network's JSON answer, such as ``$.shares``; 0 where there is none."""
+    return F.coalesce(F.get_json_object(payload, path).try_cast("double"), F.lit(0.0))
+
+
+def xml_count(payload: Column, path: str) -> Column:
+    """A counter of an XML answer; 0 where there is none. What isn't XML counts 0 as well."""
+    well_formed = F.when(payload.rlike(r"(?s)^\s*<.*>\s*$"), payload)
+    return F.coalesce(F.xpath_string(well_formed, F.lit(path)).try_cast("double"), F.lit(0.0))

@@ -101,3 +101,14 @@ def representative(members: DataFrame, cluster: str, id_col: str, vector: str) -
     centroid = each.groupBy(cluster, "k").agg(F.avg(F.col("x").cast("double")).alias("c"))
     distance = each.join(centroid, [cluster, "k"]).groupBy(cluster, id_col).agg(F.round(F.sum((F.col("x") - F.col("c")) ** 2), 9).alias("d"))
     return distance.groupBy(cluster).agg(F.min_by(id_col, F.struct("d", id_col)).alias(id_col))
+
+
+def recluster(vectors: DataFrame, within: str, event_least: float, story_least: float, min_articles: int = 1, min_events: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Events (event_id, article_id) and stories (story_id, event_id) of all articles (id, vector,
+    ``within``): the components at a similarity for events and at a lower one for stories, so the
+    cuts nest. One batch job; pairs are made once and cut twice."""
+    pairs = materialise(similar_pairs(vectors, min(event_least, story_least), within), "similar")
+    nodes = vectors.select("id")
+    events = components(pairs.filter(F.col("similarity") >= event_least).select("a", "b"), nodes)
+    stories = components(pairs.filter(F.col("similarity") >= story_least).select("a", "b"), nodes)
+    return snip(events, stories, min_articles, min_events)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import clusters, concepts, ingest, knowledge, ranking, search, summarize, users, web
+from .operators import api, clusters, concepts, ingest, knowledge, ranking, search, summarize, users, web
 from .plans.views import Views, with_views
 from .sources import readers
 
@@ -34,6 +34,10 @@ def r6(column) -> F.Column:
     return F.round(column, 6) + F.lit(0.0)
 
 
+def joined(column, by: str = ",") -> F.Column:
+    return F.array_join(F.col(column).cast("array<string>") if isinstance(column, str) else column.cast("array<string>"), by)
+
+
 def words_sql(text: str) -> str:
     return f"list_filter(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+'), lambda w: w not in ({STOPS}))"
 
@@ -111,11 +115,11 @@ def _(v):
 
 @query(
     "event_json",
-    "select event_id, count(*) as num_articles, list(id order by id) as article_ids from event_members group by event_id",
+    "select event_id, count(*) as num_articles, string_agg(id::varchar, ',' order by id) as article_ids from event_members group by event_id",
     "event_members",
 )
 def _(v):
-    return v.event_members.groupBy("event_id").agg(F.count(F.lit(1)).alias("num_articles"), F.sort_array(F.collect_list("id")).alias("article_ids"))
+    return v.event_members.groupBy("event_id").agg(F.count(F.lit(1)).alias("num_articles"), joined(F.sort_array(F.collect_list("id"))).alias("article_ids"))
 
 
 # --- clusters ----------------------------------------------------------------------------------
@@ -143,11 +147,12 @@ def _(v):
 
 @query(
     "story_events_by_date",
-    "select story_id, created_at::date as day, list(event_id order by event_id) as items from stories_events join event using (event_id) group by 1, 2",
+    "select story_id, created_at::date::varchar as day, string_agg(event_id::varchar, ',' order by event_id) as items from stories_events join event using (event_id) group by 1, 2",
     "stories_events",
 )
 def _(v):
-    return ranking.by_date(v.stories_events.join(v.event, "event_id"), "story_id", "created_at", "event_id")
+    days = ranking.by_date(v.stories_events.join(v.event, "event_id"), "story_id", "created_at", "event_id")
+    return days.select("story_id", F.col("day").cast("string").alias("day"), joined("items").alias("items"))
 
 
 @query("event_latest_title", "select event_id, arg_max(title, (created_at, -id)) as title from event_members group by event_id", "event_members")
@@ -170,9 +175,9 @@ def _(v):
     return ranking.timespan(v.article, "2024-01-01", "2024-01-02").select("id", "created_at")
 
 
-@query("member_sources", "select event_id, list(distinct source order by source) as sources from event_members where source is not null group by event_id", "event_members")
+@query("member_sources", "select event_id, string_agg(distinct source, ',' order by source) as sources from event_members where source is not null group by event_id", "event_members")
 def _(v):
-    return v.event_members.groupBy("event_id").agg(F.sort_array(F.collect_set("source")).alias("sources"))
+    return v.event_members.groupBy("event_id").agg(joined(F.sort_array(F.collect_set("source"))).alias("sources"))
 
 
 _NEW = "select (label + (vec_id % 5 = 0)::int)::bigint as new_id, vec_id as member from embeddings"
@@ -331,9 +336,46 @@ def _(v):
     return concepts.conceptize(v.article_mention.select("article_id", "name"), known, aliases, resolver)["concepts"]
 
 
-@query("concept_aliases", "select r.s as uri, list(a.o order by a.o) as aliases from (select distinct s from triples where p = 'type') r left join (select * from triples where p = 'alias') a using (s) where a.o is not null group by r.s", "triples")
+@query("concept_aliases", "select r.s as uri, string_agg(a.o, ',' order by a.o) as aliases from (select distinct s from triples where p = 'type') r left join (select * from triples where p = 'alias') a using (s) where a.o is not null group by r.s", "triples")
+def _(v):
+    return knowledge.values(v.triples, "alias").select("uri", joined("values").alias("aliases"))
+
+
+@query("preview", "select event_id, id, title from event_members where event_id in (select event_id from event order by event_id limit 3)", "event_members", "event")
+def _(v):
+    return api.preview(v.event, v.event_members, 3).select("event_id", "id", "title")
+
+
+@query("article_documents")
+def _(v):
+    return api.article_documents(v.article)
+
+
+@query("event_documents")
 def _(v):
-    return knowledge.values(v.triples, "alias").select("uri", F.col("values").alias("aliases"))
+    return api.event_documents(v.event, v.event_members, concepts.top(_event_scores(v), "event_id", 10))
+
+
+@query("recluster")
+def _(v):
+    e = v.raw("embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return clusters.recluster(e, "label", 0.3, 0.2)[1]
+
+
+@query("natural_dates", "select id, case when created_at::date = date '2024-01-01' then 'today' else 'earlier' end as day from article", "article")
+def _(v):
+    shown = T.natural_date(F.col("created_at"), F.lit("2024-01-01").cast("timestamp_ntz"))
+    return v.article.select("id", F.when(shown == "today", shown).otherwise(F.lit("earlier")).alias("day"))
+
+
+@query("auth_ids")
+def _(v):
+    return v.raw("events").select("event_id", T.auth_id(F.col("event_type"), F.col("user_id").cast("string")).alias("auth_id"))
+
+
+@query("json_counters", "select event_id, coalesce(try_cast(json_extract_string(props, '$.k') as double), 0)::double as n from events")
+def _(v):
+    return v.raw("events").select("event_id", T.json_count(F.col("props"), "$.k").alias("n"))
 
 
 # --- text --------------------------------------------------------------------------------------
@@ -351,7 +393,7 @@ _string_query("depunctuate", f"translate(text, '{_QUOTED}', '{' ' * len(T.PUNCTU
 _string_query("strip", f"trim(text, '{_QUOTED}')", T.strip_punctuation)
 _string_query("slugify", "trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '-', 'g'), '-')", T.slugify)
 _string_query("quote_uri", "replace(text, '\"', '%22')", T.quote_uri)
-_string_query("tokens", words_sql("text"), T.tokens)
+_string_query("tokens", f"array_to_string({words_sql('text')}, ' ')", lambda c: joined(T.tokens(c), " "))
 
 _SENTENCES = "list_filter(string_split(regexp_replace(trim(text, ' '), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: length(s) > 0)"
 
@@ -401,6 +443,11 @@ def _(v):
     return summarize.multi_summarize(first, "event_id", "id")
 
 
+@query("cluster_summaries")
+def _(v):
+    return summarize.cluster_summary(v.event_members.filter("id % 10 = 0"), "event_id")
+
+
 @query("summary_provenance")
 def _(v):
     members = v.event_members.filter("id % 10 = 0")
@@ -512,16 +559,16 @@ def _(v):
 
 @query(
     "authors",
-    "select o_orderkey, list_filter(list_transform(list_concat(list_slice(p, 1, len(p) - 1), string_split(' ' || p[-1], ' and ')), lambda x: trim(x)), lambda x: length(x) > 0) as authors from (select o_orderkey, string_split(lower(regexp_replace(o_orderkey || ' x, y and z', '^by ', '')), ',') as p from orders)",
+    "select o_orderkey, array_to_string(authors_, ',') as authors from (select o_orderkey, list_filter(list_transform(list_concat(list_slice(p, 1, len(p) - 1), string_split(' ' || p[-1], ' and ')), lambda x: trim(x)), lambda x: length(x) > 0) as authors_ from (select o_orderkey, string_split(lower(regexp_replace(o_orderkey || ' x, y and z', '^by ', '')), ',') as p from orders))",
 )
 def _(v):
-    return v.raw("orders").select("o_orderkey", F.transform(ingest.authors(F.concat(F.col("o_orderkey").cast("string"), F.lit(" x, y and z"))), lambda a: F.lower(a)).alias("authors"))
+    return v.raw("orders").select("o_orderkey", joined(F.transform(ingest.authors(F.concat(F.col("o_orderkey").cast("string"), F.lit(" x, y and z"))), lambda a: F.lower(a))).alias("authors"))
 
 
-@query("tags", "select id, list_sort(list_distinct(list_concat([source], ['news', lower(source)]))) as tags from article", "article")
+@query("tags", "select id, array_to_string(list_sort(list_distinct(list_concat([source], ['news', lower(source)]))), ',') as tags from article", "article")
 def _(v):
     found = F.array(F.struct(F.lit("news").alias("term")), F.struct(F.lower("source").alias("term")))
-    return v.article.select("id", ingest.tags(F.array("source"), found).alias("tags"))
+    return v.article.select("id", joined(ingest.tags(F.array("source"), found)).alias("tags"))
 
 
 @query("check_ignored", "select id, regexp_matches(title || ' profile', '^[A-Z].+\\sprofile') as ignore from article", "article")
@@ -618,9 +665,9 @@ def _(v):
 ORACLE_SQL["uri_for_name"] = ORACLE_SQL["uri_for_name"].replace(") l as (", "), l as (")
 
 
-@query("types", "select s as uri, list(o order by o) as values from triples where p = 'type' group by s", "triples")
+@query("types", "select s as uri, string_agg(o, ',' order by o) as kinds from triples where p = 'type' group by s", "triples")
 def _(v):
-    return knowledge.values(v.triples, "type")
+    return knowledge.values(v.triples, "type").select("uri", joined("values").alias("kinds"))
 
 
 @query("labels", "select s as uri, min(o) as value from triples where p = 'label' group by s", "triples")
@@ -684,10 +731,10 @@ def _(v):
     return ranking.gaps(v.raw("events"), "ts", 1800)
 
 
-@query("missing_days", "select c_custkey, (date '2024-01-01' + k::int) as day from (select c_custkey, unnest(range(0, (c_custkey % 5)::bigint)) as k from customer)")
+@query("missing_days", "select c_custkey, (date '2024-01-01' + k::int)::varchar as day from (select c_custkey, unnest(range(0, (c_custkey % 5)::bigint)) as k from customer)")
 def _(v):
     days = ranking.days_between(F.lit("2024-01-01").cast("date"), F.col("c_custkey") % 5 + 0.5)
-    return v.raw("customer").select("c_custkey", F.explode(days).alias("day"))
+    return v.raw("customer").select("c_custkey", F.explode(days.cast("array<string>")).alias("day"))
 
 
 @query("watch", "select * from users_stories union select user_id, 9 as story_id from users_stories", "users_stories")

@@ -246,3 +246,18 @@ def test_stream_over_two_batches(spark, tmp_path):
 def test_freezing_by_age(spark):
     rows = spark.createDataFrame([(1, True, dt.datetime(2024, 1, 1)), (2, True, dt.datetime(2024, 1, 8))], "event_id long, active boolean, updated_at timestamp_ntz")
     assert values(stream.freeze(rows, "2024-01-10 00:00:00"), "event_id", "active") == [(1, False), (2, True)]
+
+
+def test_counters(spark):
+    assert one(spark, T.json_count(F.lit('{"shares": 12}'), "$.shares")) == 12.0
+    assert one(spark, T.json_count(F.lit("broken"), "$.shares")) == 0.0
+    assert one(spark, T.xml_count(F.lit("<a><b>3</b></a>"), "a/b")) == 3.0
+    assert one(spark, T.xml_count(F.lit("no"), "a/b")) == 0.0
+
+
+def test_reclustering_nests(spark):
+    rows = [(1, 0, [1.0, 0.0]), (2, 0, [0.99, 0.1]), (3, 0, [0.8, 0.6]), (4, 0, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, day long, vector array<double>")
+    events, stories = clusters.recluster(df, "day", 0.95, 0.7)
+    assert values(events, "event_id", "article_id") == [(1, 1), (1, 2), (3, 3), (4, 4)]
+    assert values(stories, "story_id", "event_id") == [(1, 1), (1, 3), (4, 4)]
