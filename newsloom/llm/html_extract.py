@@ -13,8 +13,8 @@ Importance, from 0 (the same on all pages: navigation, notices) to 1 (different
   page only has entropy 0 and what all share has 1; content is sentences, links and images;
 - both are combined upwards: (1 - DAMPING) own + DAMPING mean of the children, averaged over the
   element's pages. As each page's part is a sum over its elements with weights that depend on the
-  way alone, every element sends its weighted importance to its ancestors, and one aggregation
-  gives all composite importances, at any depth.
+  way alone, leaves send their importance to their parents and every inner element sends its own
+  and its leaves', weighted, to its ancestors: one aggregation for all depths.
 
 Of each page, the branches of which each element has a composite importance below ``KEEP_AT`` are
 left out: an important element keeps what it stands in, not what stands beside it. What stays is
@@ -32,9 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, row_key, small_batches
+from .common import joined_side, materialise, row_key, small_batches
 
-DAMPING, KEEP_AT = 0.9, 0.35
+DAMPING, KEEP_AT, DEEPEST = 0.9, 0.35, 100
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>?|<[!?][^>]*>?|<", re.S)
 _ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -100,7 +100,19 @@ def parse(page: str) -> Node:
         if tag in _RAW:
             end = re.compile(f"</{tag}\\b", re.I).search(page, at)
             at = end.start() if end else n
-        stack.append(node)
+        if len(stack) < DEEPEST:
+            stack.append(node)
+    return _folded(root)
+
+
+def _folded(root: Node) -> Node:
+    """An element whose only child is a text becomes a leaf with that text."""
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if len(node.children) == 1 and node.children[0].text is not None and node is not root:
+            node.text, node.children = node.children[0].text, []
+        todo += node.children
     return root
 
 
@@ -108,122 +120,117 @@ def _hash(*parts: object) -> int:
     return xxhash.xxh3_64_intdigest("\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def walk(root: Node) -> Iterator[tuple[int, int, list[tuple[int, float]], Node]]:
-    """(key, style, ancestors, node) for every element; ancestors are (key, weight) from itself
-    up, where the weight is what its own importance counts there."""
-    todo = [(root, 0, [(0, 1.0)])]
+def walk(root: Node, host: str) -> Iterator[tuple[int, int | None, list[tuple[int, int]], Node]]:
+    """(key, style, above, node) for every element; style is None for leaves; above are (key,
+    number of children) of its ancestors, the nearest first. The root's key is that of the host."""
+    todo = [(root, _hash(host), [])]
     while todo:
         node, key, above = todo.pop()
-        style = _hash(*(c.label for c in node.children))
-        yield key, style, above, node
         k = len(node.children)
+        style = _hash(*(c.label for c in node.children)) if k else None
+        yield key, style, above, node
+        chain = [(key, k), *above]
         for place, child in enumerate(node.children):
-            below = _hash(key, style, place, child.label)
-            todo.append((child, below, [(below, 1.0), *((a, w * DAMPING / k) for a, w in above)]))
+            todo.append((child, _hash(key, style, place, child.label), chain))
 
 
 def content(node: Node) -> set[str]:
-    if node.text is not None:
-        return {" ".join(s.split()) for s in _SENTENCE.split(node.text) if s.strip()}
-    return set(node.features)
+    return {" ".join(s.split()) for s in _SENTENCE.split(node.text or "") if s.strip()} | set(node.features)
 
 
-ROWS = "host string, key long, style long, feature long, n long, ups array<long>, weights array<double>, tie long, keys array<long>"
+ROWS = "key long, style long, n int, ups array<long>, children array<int>, features array<int>, times array<int>, tie long, keys array<long>"
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two kinds of rows: for each page its tie and the keys of its elements; and, counted over a
-    batch, for each element how often it has a style, or, if it is a leaf, a piece of content."""
+    """Three kinds of rows. Inner elements: key, style, n (pages of the batch), and, once for each
+    key, its ancestors and how many children these have. Leaves: key, n, their parent and its
+    number of children, and their content with how many pages have it. Pages: tie and the keys of
+    their texts. Leaves go no further up than their parent, which keeps most rows short."""
     for batch in small_batches(batches, "html", 8 << 20):
-        counts: dict[tuple, int] = {}
-        ways: dict[tuple, list[tuple[int, float]]] = {}
+        inner: dict[tuple[int, int], int] = {}
+        ways: dict[int, list[tuple[int, int]]] = {}
+        leaves: dict[int, list] = {}
         pages = []
         for host, tie, page in zip(*(batch.column(c).to_pylist() for c in ("host", "tie", "html"))):
-            keys = []
-            for key, style, above, node in walk(parse(page)):
-                keys.append(key)
-                leaf = not node.children
-                one = (host, key, None if leaf else style, None)
-                counts[one] = counts.get(one, 0) + 1
-                ways.setdefault((host, key), above)
-                if leaf:
-                    for f in content(node):
-                        one = (host, key, None, _hash(f))
-                        counts[one] = counts.get(one, 0) + 1
-            pages.append((host, tie, keys))
-        told: set[tuple] = set()
-        ups, weights = [], []
-        for host, key, _, feature in counts:
-            first = feature is None and (host, key) not in told
-            told.add((host, key)) if first else None
-            ups.append([a for a, _ in ways[host, key]] if first else None)
-            weights.append([w for _, w in ways[host, key]] if first else None)
-        hosts, keys, styles, features = (list(x) for x in zip(*counts)) if counts else ([], [], [], [])
-        n, none = len(hosts), [None] * len(pages)
-        columns = [
-            pa.array(hosts + [x[0] for x in pages], pa.string()),
-            *(pa.array(x + none, pa.int64()) for x in (keys, styles, features, list(counts.values()))),
-            pa.array(ups + none, pa.list_(pa.int64())),
-            pa.array(weights + none, pa.list_(pa.float64())),
-            pa.array([None] * n + [x[1] for x in pages], pa.int64()),
-            pa.array([None] * n + [x[2] for x in pages], pa.list_(pa.int64())),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, ["host", "key", "style", "feature", "n", "ups", "weights", "tie", "keys"])
+            texts = []
+            for key, style, above, node in walk(parse(page), host):
+                if style is not None:
+                    inner[key, style] = inner.get((key, style), 0) + 1
+                    ways.setdefault(key, above)
+                    continue
+                leaf = leaves.get(key)
+                if leaf is None:
+                    leaf = leaves[key] = [0, above[:1], {}]
+                leaf[0] += 1
+                for f in content(node):
+                    h = _hash(f) & 0x7FFFFFFF
+                    leaf[2][h] = leaf[2].get(h, 0) + 1
+                if node.text is not None:
+                    texts.append(key)
+            pages.append((tie, texts))
+        told = {key: pair for pair in reversed(list(inner)) for key in pair[:1]}
+        rows = [(key, style, n, [a for a, _ in ways[key]] if told[key] == (key, style) else None, [k for _, k in ways[key]] if told[key] == (key, style) else None, None, None, None, None) for (key, style), n in inner.items()]
+        rows += [(key, None, n, [a for a, _ in above], [k for _, k in above], list(found), list(found.values()), None, None) for key, (n, above, found) in leaves.items()]
+        rows += [(None, None, None, None, None, None, None, tie, texts) for tie, texts in pages]
+        long, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), long, ints, ints, ints, pa.int64(), long)
+        names = [x.split()[0] for x in ROWS.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
 
 
 def importances(rows: DataFrame) -> DataFrame:
-    """(host, key, importance) of every element of the style trees, from the counts in ``rows``."""
-    counted = rows.filter("feature is null and key is not null").groupBy("host", "key", "style").agg(
-        F.sum("n").alias("n"), F.first("ups", ignorenulls=True).alias("ups"), F.first("weights", ignorenulls=True).alias("weights")
-    )
-    inner = counted.groupBy("host", "key").agg(
-        F.sum("n").alias("m"),
-        F.sum(F.col("n") * F.log("n")).alias("s"),
-        F.max(F.col("style").isNotNull()).alias("inner"),
-        F.first("ups", ignorenulls=True).alias("ups"),
-        F.first("weights", ignorenulls=True).alias("weights"),
-    )
-    shared = rows.filter("feature is not null").groupBy("host", "key", "feature").agg(F.sum("n").alias("n"))
-    leaf = shared.groupBy("host", "key").agg(F.avg(F.log("n")).alias("h"))
+    """(key, leaf, importance) of every element of the style trees, from the counts in ``rows``.
+    Leaves are shuffled once, by key, and everything about them is added up there."""
     m = F.col("m")
-    by_style = (F.log(m) - F.col("s") / m) / F.log(m)
-    by_content = 1 - F.coalesce("h", F.log(m)) / F.log(m)
-    alone = F.when(F.col("inner") | F.col("h").isNotNull(), 1.0).otherwise(0.0)
-    own = F.when(m == 1, alone).when(F.col("inner"), by_style).otherwise(by_content)
-    # an inner element's own part counts (1 - DAMPING), a leaf's all
-    own = F.greatest(F.lit(0.0), own) * F.when(F.col("inner"), 1 - DAMPING).otherwise(1.0)
-    sent = inner.join(leaf, ["host", "key"], "left").select("host", "key", "m", own.alias("own"), F.explode(F.arrays_zip("ups", "weights")).alias("u"))
-    got = sent.select("host", F.col("u.ups").alias("up"), (m * F.col("own") * F.col("u.weights")).alias("x"), F.when(F.col("u.ups") == F.col("key"), m).alias("m"))
-    return got.groupBy("host", F.col("up").alias("key")).agg((F.sum("x") / F.max("m")).alias("importance"))
-
-
-def render(page: str, noisy: set[int]) -> str:
+    leaves = rows.filter("key is not null and style is null").select("key", "n", "ups", "children", "features", "times").repartition("key")
+    sizes = leaves.groupBy("key").agg(F.sum("n").alias("m"), F.min(F.element_at("ups", 1)).alias("parent"), F.min(F.element_at("children", 1)).alias("k"))
+    pieces = leaves.select("key", F.explode(F.arrays_zip("features", "times")).alias("f")).groupBy("key", "f.features").agg(F.log(F.sum("f.times")).alias("x"))
+    mean = pieces.groupBy("key").agg(F.avg("x").alias("h"))
+    own = F.when(F.col("h").isNull(), 0.0).when(m == 1, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("h") / F.log(m)))
+    leaf = sizes.join(mean, "key", "left").select("key", "parent", "k", "m", own.alias("importance"))
+    below = leaf.groupBy(F.col("parent").alias("key")).agg(F.sum(m * F.col("importance") / F.col("k")).alias("below"))
+
+    inner = rows.filter("style is not null").groupBy("key", "style").agg(F.sum("n").alias("n"), F.first("ups", ignorenulls=True).alias("ups"), F.first("children", ignorenulls=True).alias("children"))
+    inner = inner.groupBy("key").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"), F.first("ups", ignorenulls=True).alias("ups"), F.first("children", ignorenulls=True).alias("children"))
+    style = F.when(m == 1, 1.0).otherwise(F.greatest(F.lit(0.0), (F.log(m) - F.col("s") / m) / F.log(m)))
+    sent = inner.join(below, "key", "left").select("key", "m", "ups", "children", (m * style * (1 - DAMPING) + F.coalesce("below", F.lit(0.0)) * DAMPING).alias("x"))
+    # an ancestor d steps up counts x by DAMPING ** d over the product of the numbers of children
+    steps = F.aggregate(
+        F.arrays_zip("ups", "children"),
+        F.array(F.struct(F.col("key").alias("up"), F.lit(1.0).alias("w"))),
+        lambda acc, u: F.concat(acc, F.array(F.struct(u["ups"].alias("up"), (F.element_at(acc, -1)["w"] * DAMPING / u["children"]).alias("w")))),
+    )
+    got = sent.select("key", "m", "x", F.explode(steps).alias("u")).select(F.col("u.up").alias("up"), (F.col("x") * F.col("u.w")).alias("x"), F.when(F.col("u.up") == F.col("key"), m).alias("m"))
+    branch = got.groupBy(F.col("up").alias("key")).agg((F.sum("x") / F.max("m")).alias("importance"))
+    return leaf.select("key", F.lit(True).alias("leaf"), "importance").union(branch.select("key", F.lit(False), "importance"))
+
+
+def render(page: str, host: str, noisy: set[int]) -> str:
     """The text of a page without the branches that are ``noisy`` throughout: these are the ones of
     whose texts each is, so what is noisy is left out at the texts."""
     out: list[str] = []
 
     def lay(node: Node, key: int) -> None:
-        if node.text is not None:
-            if key not in noisy:
-                out.append(node.text)
-            return
-        block = node.tag not in _INLINE
+        block = node.tag not in _INLINE and node.tag != "#text"
         if block or node.tag == "br":
             out.append("\n")
-        style = _hash(*(c.label for c in node.children))
-        for place, child in enumerate(node.children):
-            lay(child, _hash(key, style, place, child.label))
+        if node.text is not None and key not in noisy:
+            out.append(node.text)
+        if node.children:
+            style = _hash(*(c.label for c in node.children))
+            for place, child in enumerate(node.children):
+                lay(child, _hash(key, style, place, child.label))
         if block:
             out.append("\n")
 
-    lay(parse(page), 0)
+    lay(parse(page), _hash(host))
     lines = (" ".join(x.split()) for x in "".join(re.sub(r"\s+", " ", x) if x != "\n" else x for x in out).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, "html", 4 << 20):
-        texts = [None if page is None else render(page, set(noisy or ())) for page, noisy in zip(batch.column("html").to_pylist(), batch.column("noisy").to_pylist())]
+        texts = [None if page is None else render(page, host, set(noisy or ())) for host, page, noisy in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "noisy")))]
         counts = [len(noisy or ()) for noisy in batch.column("noisy").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], ["page_id", "host", "text", "n_left_out"])
 
@@ -233,17 +240,18 @@ def host_of(url):
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", keep_at: float = KEEP_AT) -> DataFrame:
-    """A row for every row of ``pages``: page_id, host, text and n_left_out, how many elements of
-    the page are of low importance.
+    """A row for every row of ``pages``: page_id, host, text and n_left_out, how many texts of the
+    page are of low importance.
 
     A null page has a null text, an empty one ''. URLs without a host, and null ones, share the
     host ''. A host with a single page keeps all of it. Repeated rows come back as often as they
     occur and count each as a page of its host. An empty table gives an empty result. Other
-    columns are not looked at and don't come back."""
+    columns are not looked at and don't come back. Elements nested more than ``DEEPEST`` deep count
+    as children of the last one that isn't."""
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), row_key(id_col, url_col, html_col).alias("tie"), F.col(html_col).alias("html"))
     elements = materialise(rows.filter("html is not null").select("host", "tie", "html").mapInArrow(_elements, ROWS), "elements")
-    noisy = importances(elements).filter((F.col("importance") < keep_at) & (F.col("key") != 0)).select("host", "key")
-    of_page = elements.filter("tie is not null").select("host", F.col("tie").alias("t"), F.explode(F.array_distinct("keys")).alias("key"))
-    left_out = of_page.join(noisy, ["host", "key"]).groupBy("t").agg(F.collect_set("key").alias("noisy"))
-    joined = rows.join(left_out.hint("shuffle_hash"), F.col("tie") == F.col("t"), "left").select("page_id", "host", "html", "noisy")
+    noisy = materialise(importances(elements).filter(F.col("leaf") & (F.col("importance") < keep_at)).select("key"), "noisy")
+    of_page = elements.filter("tie is not null").select(F.col("tie").alias("t"), F.explode(F.array_distinct("keys")).alias("key"))
+    left_out = materialise(of_page.join(joined_side(noisy), "key").groupBy("t").agg(F.collect_set("key").alias("noisy")), "leftout")
+    joined = rows.join(joined_side(left_out), F.col("tie") == F.col("t"), "left").select("page_id", "host", "html", "noisy")
     return joined.mapInArrow(_extract, "page_id long, host string, text string, n_left_out int")
