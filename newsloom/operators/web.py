@@ -8,9 +8,9 @@ from pyspark.sql.window import Window
 
 from ..functions.text import collapse, full_url
 
-FEED_TYPES = ("application/rss+xml", "text/xml", "application/atom+xml", "application/x.atom+xml", "application/x-atom+xml")
+FEED_TYPES = tuple(f"application/{kind}+xml" for kind in ("atom", "rss", "x-atom", "x.atom")) + ("text/xml",)
 FEED_ENDINGS = (".rss", ".rdf", ".xml", "atom")  # the last four characters: ".atom" itself has five and can't match
-GUESSES = ("atom.xml", "index.atom", "index.rdf", "rss.xml", "index.xml", "index.rss", "feed")
+GUESSES = ("feed", *(f"index.{end}" for end in ("atom", "rdf", "rss", "xml")), "atom.xml", "rss.xml")
 
 
 def anchors(html: Column) -> Column:

@@ -13,7 +13,7 @@ ARTICLE_SCHEMA = (
 )
 SOURCE_SCHEMA = "_id struct<`$oid`:string>, name string"
 FEED_JSON_SCHEMA = "_id struct<`$oid`:string>, ext_url string, source struct<`$oid`:string>"
-LANGUAGES, WANTED = "/en/", ("labels", "redirects", "short_abstracts", "long_abstracts", "images", "geo_coordinates", "instance_types", "page_links", "disambiguations", "mappingbased_properties", "specific_mappingbased_properties", "topical_concepts")
+WANTED = "disambiguations geo_coordinates images instance_types labels long_abstracts mappingbased_properties page_links persondata raw_infobox_properties redirects short_abstracts".split()
 
 
 def read_feeds(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
@@ -54,8 +54,7 @@ def write_triples(triples: DataFrame, path: str) -> None:
 def dataset_urls(pages: DataFrame) -> DataFrame:
     """The wanted datasets' URLs in download pages (html)."""
     links = pages.select(F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), 1)).alias("url"))
-    named = F.regexp_extract("url", r"/([a-z_]+)_en\.ttl\.bz2$", 1)
-    return links.filter(F.contains("url", F.lit(LANGUAGES)) & F.endswith("url", F.lit("ttl.bz2")) & named.isin(*WANTED)).distinct()
+    return links.filter(F.contains("url", F.lit("/en/")) & F.endswith("url", F.lit("ttl.bz2")) & F.col("url").rlike("|".join(WANTED))).distinct()
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:

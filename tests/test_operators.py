@@ -261,3 +261,9 @@ def test_reclustering_nests(spark):
     events, stories = clusters.recluster(df, "day", 0.95, 0.7)
     assert values(events, "event_id", "article_id") == [(1, 1), (1, 2), (3, 3), (4, 4)]
     assert values(stories, "story_id", "event_id") == [(1, 1), (1, 3), (4, 4)]
+
+
+def test_dataset_urls(spark):
+    page = '<a href="http://d.org/3.9/en/labels_en.ttl.bz2">l</a><a href="http://d.org/3.9/de/labels_de.ttl.bz2">l</a><a href="http://d.org/3.9/en/other_en.ttl.bz2">o</a><a href="http://d.org/3.9/en/images_en.nt.bz2">i</a>'
+    got = readers.dataset_urls(spark.createDataFrame([(page,)], "html string"))
+    assert values(got, "url") == [("http://d.org/3.9/en/labels_en.ttl.bz2",)]
