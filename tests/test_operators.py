@@ -74,7 +74,7 @@ def test_cluster_scores_with_commonness(spark):
     "name, expected",
     [
         ("BY JOHN HEIMER, HWAIDA SAAD, and BEN HUBBARD", ["John Heimer", "Hwaida Saad", "Ben Hubbard"]),
-        ("by Francis Tseng", ["Francis Tseng"]),
+        ("by Maria Lopez", ["Maria Lopez"]),
         ("A and B", ["A", "B"]),
         ("Sandy Andrews", ["Sandy Andrews"]),
         ("", []),
