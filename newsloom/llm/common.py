@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,17 +12,19 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import materialise, shared_dir
 
-__all__ = ["joined_side", "materialise", "row_key", "shared_dir", "small_batches", "table"]
+__all__ = ["bound_batches", "joined_side", "materialise", "row_key", "shared_dir", "small_batches", "table", "trim"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def joined_side(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
-    """A written table as the smaller side of a join with texts: broadcast where it is counted to
-    be small, else the built side of a shuffled hash join, which needs no sort of the texts."""
-    return F.broadcast(df) if df.count() <= most_rows else df.hint("shuffle_hash")
+def joined_side(df: DataFrame, most_rows: int = 200_000, most_bytes: int = 16 << 20) -> DataFrame:
+    """A written table as the smaller side of a join with texts: broadcast where its files and its
+    rows are measured to be few, else the built side of a shuffled hash join, which needs no sort
+    of the texts."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= most_bytes and df.count() <= most_rows else df.hint("shuffle_hash")
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -34,6 +38,23 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 <
         step = max(1, n * limit // size)
         for at in range(0, n, step):
             yield batch.slice(at, step)
+    trim()
+
+
+def bound_batches(df: DataFrame, most: int = 4 << 20) -> None:
+    """Let no Arrow batch of the session hold more than ``most`` bytes: the usual bound is 10,000
+    rows, and with long texts a batch would be large in the JVM and in Python."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.match(r"\d+", df.sparkSession.conf.get(name)).group()) > most:
+        df.sparkSession.conf.set(name, str(most))
+
+
+def trim() -> None:
+    """Give memory that a task no longer needs back to the system: its worker stays for the next."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def row_key(*columns: str) -> F.Column:

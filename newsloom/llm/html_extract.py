@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_side, materialise, row_key, small_batches
+from .common import bound_batches, joined_side, materialise, row_key, small_batches
 
 DAMPING, KEEP_AT, DEEPEST = 0.9, 0.35, 100
 
@@ -248,6 +248,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     occur and count each as a page of its host. An empty table gives an empty result. Other
     columns are not looked at and don't come back. Elements nested more than ``DEEPEST`` deep count
     as children of the last one that isn't."""
+    bound_batches(pages)
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), row_key(id_col, url_col, html_col).alias("tie"), F.col(html_col).alias("html"))
     elements = materialise(rows.filter("html is not null").select("host", "tie", "html").mapInArrow(_elements, ROWS), "elements")
     noisy = materialise(importances(elements).filter(F.col("leaf") & (F.col("importance") < keep_at)).select("key"), "noisy")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, row_key, small_batches
+from .common import bound_batches, materialise, row_key, small_batches
 
 N, THRESHOLD, TOLERANCE = 3, 0.5, 0.01
 BANDS, ROWS, STEP, BLOCK = 40, 4, 16, 256
@@ -189,6 +189,7 @@ class Matches:
     node is a distinct set of n-grams, and ``pairs`` (a, b, jaccard) of nodes, a < b."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, tolerance: float):
+        bound_batches(docs)
         keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("tie"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
         signed = materialise(keyed.mapInArrow(_sign(n), "doc_id long, tie long, node long, sign binary, bands array<long>"), "signatures")
         self.members = signed.select("node", "doc_id", "tie")

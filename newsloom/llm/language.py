@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import bound_batches, small_batches
 
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 16, 8
 TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS, RATE, BATCH, SEED = 4000, 3, 12, 4e-3, 64, 7
@@ -191,6 +191,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     is labelled. Equal probabilities: the first language in alphabetical order. Repeated rows all
     come back; an empty table gives an empty result; other columns are not looked at."""
     spark = docs.sparkSession
+    bound_batches(docs)
     shared = spark.sparkContext.broadcast(fit(sample(docs, text_col, label_col, train_docs)))  # some 10 KB
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_apply(shared), "doc_id long, language string, confidence double, n_windows int")

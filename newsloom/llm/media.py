@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import bound_batches, small_batches
 
 
 def _png(b: bytes, at: int) -> int | None:
@@ -313,6 +313,7 @@ def inspect(rows: DataFrame, id_col: str, content: Column, declared: Column) ->
     declaration counts as wrong. Damaged or cut-off items fail their validator: the value is then
     text or application/octet-stream. Repeated rows all come back; an empty table gives an empty
     result; other columns are not looked at and don't come back."""
+    bound_batches(rows)
     return rows.select(F.col(id_col).cast("long").alias("id"), declared.alias("declared"), content.cast("binary").alias("content")).mapInArrow(_inspect, SCHEMA)
 
 

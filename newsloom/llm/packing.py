@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, small_batches
+from .common import bound_batches, row_key, small_batches
 
 WINDOW, TRUNCATION, SHARD_SPAN = 2048, 256.0, 512
 _END = re.compile(r"(?<=[.!?…。])\s+|\n+")
@@ -144,6 +144,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     packed as often as they occur. Of cuts of equal cost the one with the shortest last window is
     taken. An empty table gives no windows. Other columns don't matter. Ids should be dense: the
     shards are runs of ``shard_span`` ids, and each ends its last window."""
+    bound_batches(docs)
     key = row_key(text_col)
     shard = F.coalesce(F.floor(F.col(id_col) / F.lit(shard_span)), -1 - F.pmod(key, F.lit(64)))
     rows = docs.select(shard.cast("long").alias("shard"), F.col(id_col).cast("long").alias("doc_id"), key.alias("tie"), F.col(text_col).alias("text"))

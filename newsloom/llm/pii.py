@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_side, materialise, row_key, small_batches
+from .common import bound_batches, joined_side, materialise, row_key, small_batches
 
 KEY = b"newsloom surrogates"
 ROUNDS = 64
@@ -304,6 +304,7 @@ def anonymise(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> Data
     Null and empty texts stay; a text without entities stays as it is, byte for byte. Repeated
     rows get the same replacements. An empty table stays empty. Other columns are passed on
     unread; names that start with __newsloom are reserved."""
+    bound_batches(docs)
     tie = row_key(text_col)
     texts = docs.select(tie.alias("tie"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
     mentions = materialise(texts.mapInArrow(_mentions, "tie long, kind string, canonical string").distinct(), "mentions")

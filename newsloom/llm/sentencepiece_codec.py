@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import bound_batches, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -330,6 +330,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     their bytes where it has these, else one unknown id for a run of them, and round_trip is then
     false. Repeated rows all come back; an empty table gives an empty result; other columns are
     not looked at and don't come back."""
+    bound_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(_encode(model), "doc_id long, ids array<int>, round_trip boolean")
     return out.select("doc_id", "ids", F.when(F.col("ids").isNotNull(), F.size("ids")).alias("n_ids"), "round_trip")
