@@ -10,15 +10,16 @@ The combinations are at most 3**10 however many documents there are, so the driv
 fixed size; counting them is one map-side combined aggregation and applying them is an expression.
 """
 
-from __future__ import annotations
-
 import math
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import bound_batches, materialise, trim
 
 RULES = ("symbols", "shouting", "upper_case", "repeats", "length", "endings", "same_lines", "variety", "function_words", "cells")
 KEEP_AT = 0.5
@@ -87,8 +88,10 @@ def decode_votes(code: int) -> tuple[int, ...]:
 
 
 @F.pandas_udf(T.IntegerType())
-def _codes(texts):
-    return texts.map(lambda t: encode_votes(votes_of(t)) if t is not None else -1).astype("int32")
+def _codes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield texts.map(lambda t: encode_votes(votes_of(t)) if t is not None else -1).astype("int32")
+    trim()
 
 
 def vote_code(text: Column) -> Column:
@@ -133,7 +136,8 @@ def posterior(code: Column, prior: float, table: np.ndarray) -> Column:
 
 
 def _fit_on(coded: DataFrame, code: str) -> tuple[float, np.ndarray]:
-    rows = coded.filter(F.col(code) >= 0).groupBy(code).count().orderBy(code).collect()  # 3**10 rows at most
+    # 3**10 rows at most; nulls are sorted out here, as a filter would be pushed below and vote again
+    rows = sorted(r for r in coded.groupBy(code).count().collect() if r[0] >= 0)
     return fit(np.array([r[0] for r in rows], dtype=int), np.array([r[1] for r in rows], dtype=float))
 
 
@@ -145,6 +149,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the rules on length, line ends and function words. Repeated rows count as often as they occur
     and all come back. An empty table gives an empty result. Other columns of ``docs`` are not
     looked at and don't come back."""
+    bound_batches(docs)
     coded = materialise(docs.select(F.col(id_col).alias("doc_id"), vote_code(F.col(text_col)).alias("code")), "votes")
     prior, table = _fit_on(coded, "code")
     votes = F.array(*[(F.pmod(F.floor(F.col("code") / F.lit(3 ** (len(RULES) - 1 - k))), F.lit(3)) - 1).cast("int") for k in range(len(RULES))])
@@ -156,6 +161,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", keep_at: float = KEEP_AT)
     """The rows of ``docs`` whose posterior is at least ``keep_at``, with all their columns.
     The votes are made twice, once to count and once to decide: that is two scans and no shuffle
     of texts. Null texts go."""
+    bound_batches(docs)
     code = vote_code(F.col(text_col))
     prior, table = _fit_on(docs.select(code.alias("code")), "code")
     return docs.filter(posterior(code, prior, table) >= F.lit(keep_at))
