@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import html_extract, jaccard, language, line_dedup, media, media_column, packing, pii, quality, urls
 from newsloom.llm import sentencepiece_codec as sp
+from newsloom.llm.common import row_key
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -436,6 +437,37 @@ def test_line_dedup_equals_brute_force(spark):
     assert got == brute_lines(rows)
 
 
+def lines_in_order(df):
+    """(doc_id, tie) -> the numbers of the lines that go, by brute force in the order of the operator."""
+    rows = {(r.doc_id is None, r.doc_id or 0, r.tie): r.text for r in df.select("doc_id", "text", row_key("doc_id", "text").alias("tie")).collect()}
+    return {(None if k[0] else k[1], k[2]): v for k, v in brute_lines(sorted(rows.items())).items()}
+
+
+def test_line_dedup_of_a_chain_in_another_order(spark, request):
+    # J(W, X) = J(X, Y) = 0.82, J(W, Y) = 0.67
+    w, x, y = (" ".join(f"w{k}" for k in range(a, a + 20)) for a in (0, 2, 4))
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # so that all of a line's partners meet in one place
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.shuffle.partitions", "4"))
+    for rows in ([(100, x), (50, y), (5, x), (1, w)], [(None, x), (50, y), (None, w)]):
+        df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        assert {(r.doc_id, r.tie): set(r.lines) for r in line_dedup.repeated_lines(df).collect()} == lines_in_order(df)
+
+
+def test_line_dedup_of_a_shuffled_table(spark, request):
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.shuffle.partitions", "4"))
+    rnd = random.Random(9)
+    rows = []
+    for c in range(12):  # chains whose neighbours match
+        for k in range(16):
+            line = " ".join(f"c{c}w{j}" for j in range(2 * k, 2 * k + 20))
+            rows += [(rnd.choice([None, rnd.randint(0, 60), rnd.randint(-(2**62), 2**62)]), "\n".join([f"only{len(rows)}", line])) for _ in range(rnd.randint(1, 3))]
+    rows += [(i, a + "\n" + b) for (i, a), (_, b) in zip(rows[::5], rows[3::7])]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).cache()
+    assert {(r.doc_id, r.tie): set(r.lines) for r in line_dedup.repeated_lines(df).collect()} == lines_in_order(df)
+
+
 def test_line_dedup_on_documents(spark, docs):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     gone = brute_lines(rows)
