@@ -98,33 +98,57 @@ def multi_summary(texts: list[str], length: int = 5, least: float = 0.2) -> list
     similarity, less its distance from 20 words, over its position."""
     rows = [(s, k) for t in texts for k, s in enumerate((x for x in re.split(r"(?<=[.!?])\s+", t.strip()) if x), 1)]
     words = [_tokens(s) for s, _ in rows]
-    ids = {w: k for k, w in enumerate(sorted({w for ws in words for w in ws}))}
-    vectors = np.zeros((len(rows), max(1, len(ids))), np.float32)
-    for r, ws in enumerate(words):
-        for w, n in Counter(ws).items():
-            vectors[r, ids[w]] = n
-    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    unit = np.divide(vectors, norms, out=np.full_like(vectors, np.nan), where=norms > 0)
+    # sums of unit vectors by word: of each word, the clusters that have it and how much, so that only
+    # what is there takes memory and time
+    units: list[dict[str, float]] = []
+    for ws in words:
+        counts = Counter(ws)
+        norm = np.sqrt(np.float32(sum(n * n for n in counts.values())))
+        units.append({w: float(np.float32(n) / norm) for w, n in counts.items()})
+    posts: dict[str, list] = {}  # word: clusters, sums, how many
+    places: list[dict[str, int]] = []  # of each cluster, where its words are in ``posts``
     members: list[list[int]] = []
-    sums: list[np.ndarray] = []
-    for r in range(len(rows)):
-        best, at = least, None
-        if sums:
-            sims = np.array([float(unit[r] @ s) / len(m) for s, m in zip(sums, members)])
-            for k, s in enumerate(sims):
-                if s >= best - 1e-9:
-                    best, at = s, k
+    sizes, blank = np.ones(len(rows)), np.zeros(len(rows), bool)
+    for r, unit in enumerate(units):
+        n, at = len(members), None
+        if n and unit:
+            sims = np.zeros(n)
+            for w, u in unit.items():
+                if w in posts:
+                    found, sums, k = posts[w]
+                    sims[found[:k]] += sums[:k] * u
+            sims /= sizes[:n]
+            sims[blank[:n]] = -np.inf
+            first = int(sims.argmax())
+            if sims[first] >= least - 1e-9:
+                best, at = sims[first], first
+                for k in first + 1 + np.flatnonzero(sims[first + 1 :] >= best - 1e-6):
+                    if sims[k] >= best - 1e-9:
+                        best, at = sims[k], int(k)
         if at is None:
-            members.append([r])
-            sums.append(unit[r].astype(np.float64))
-        else:
-            members[at].append(r)
-            sums[at] = sums[at] + unit[r]
+            at = n
+            members.append([])
+            places.append({})
+            blank[at] = not unit
+        members[at].append(r)
+        sizes[at] = len(members[at])
+        for w, u in unit.items():
+            place = places[at].get(w)
+            if place is None:
+                post = posts.setdefault(w, [np.zeros(1, np.int32), np.zeros(1), 0])
+                place = places[at][w] = post[2]
+                if place == len(post[0]):
+                    post[0], post[1] = np.resize(post[0], 2 * place), np.resize(post[1], 2 * place)
+                post[0][place], post[1][place] = at, 0.0
+                post[2] += 1
+            posts[w][1][place] += u
     out = []
     for k in sorted(range(len(members)), key=lambda k: -len(members[k]))[:length]:
         best, chosen = 0.0, ""
         for r in members[k]:
-            similarity = float(unit[r] @ sums[k]) / len(members[k])
+            if not units[r]:
+                continue
+            similarity = sum(u * posts[w][1][places[k][w]] for w, u in units[r].items()) / len(members[k])
             score = (similarity - abs(20 - len(words[r])) / 20 / 2) / rows[r][1]
             if score >= best:
                 best, chosen = score, rows[r][0]

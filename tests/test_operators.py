@@ -267,3 +267,15 @@ def test_dataset_urls(spark):
     page = '<a href="http://d.org/3.9/en/labels_en.ttl.bz2">l</a><a href="http://d.org/3.9/de/labels_de.ttl.bz2">l</a><a href="http://d.org/3.9/en/other_en.ttl.bz2">o</a><a href="http://d.org/3.9/en/images_en.nt.bz2">i</a>'
     got = readers.dataset_urls(spark.createDataFrame([(page,)], "html string"))
     assert values(got, "url") == [("http://d.org/3.9/en/labels_en.ttl.bz2",)]
+
+
+def test_summaries_are_of_all_members(spark, monkeypatch):
+    from newsloom import queries
+    from newsloom.plans.views import Views
+
+    folder = "/root/testdata/sf0.001"
+    every = Views(spark, folder).event_members.count()
+    monkeypatch.setattr(summarize, "multi_summarize", lambda members, *_: members)
+    monkeypatch.setattr(summarize, "cluster_summary", lambda members, *_: members)
+    monkeypatch.setattr(summarize, "provenance", lambda summaries, members, *_: summaries.select("id").union(members.select("id")))
+    assert [queries.QUERIES[q](spark, folder).count() for q in ("multi_summarize", "cluster_summaries", "summary_provenance")] == [every, every, 2 * every] and every > 0
