@@ -40,6 +40,10 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\
 _ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HIDDEN = frozenset("script style noscript template svg head title iframe object".split())
+_IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head".split())
+#: HTML elements that end an open svg, except within these elements of it
+_ENDS_SVG = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+_IN_SVG = frozenset("foreignobject desc title".split())
 _RAW = frozenset("script style textarea title".split())
 _INLINE = frozenset("a abbr b bdi bdo br cite code data em font i img kbd label mark q s samp small span strong sub sup time u var wbr".split())
 _CLOSES = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"])}
@@ -55,14 +59,24 @@ class Node:
 
 def parse(page: str) -> Node:
     """The DOM: elements, and texts as leaves with the tag #text. Comments, scripts and the like
-    are left out; unclosed and wrongly closed elements are closed as browsers do in simple cases."""
+    are left out; unclosed and wrongly closed elements are closed as browsers do in simple cases. A
+    head ends at the first text or tag that can't be in it, an svg at an HTML tag; other hidden
+    elements of which no end follows on the page hide nothing."""
     root = Node("#root", "#root")
     stack = [root]
     at, n = 0, len(page)
+    last_end: dict[str, int] = {}
+
+    def ended(tag: str, start: int) -> bool:
+        if tag not in last_end:
+            last_end[tag] = max((m.start() for m in re.finditer(f"</{tag}\\b", page, re.I)), default=-1)
+        return last_end[tag] >= start
 
     def words(start: int, stop: int) -> None:
         text = entities.unescape(page[start:stop])
         if text.strip():
+            if stack[-1].tag == "head":
+                stack.pop()
             leaf = Node("#text", "#text")
             leaf.text = text
             stack[-1].children.append(leaf)
@@ -87,6 +101,18 @@ def parse(page: str) -> Node:
                     del stack[k:]
                     break
             continue
+        if tag == "body" or tag not in _IN_HEAD and stack[-1].tag == "head":
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag == "head":
+                    del stack[k:]
+                    break
+        if tag in _ENDS_SVG:
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag in _IN_SVG:
+                    break
+                if stack[k].tag == "svg":
+                    del stack[k:]
+                    break
         while len(stack) > 1 and tag in _CLOSES.get(stack[-1].tag, ()):
             stack.pop()
         attributes = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTE.findall(m.group(3))} if m.group(3) else {}
@@ -97,6 +123,8 @@ def parse(page: str) -> Node:
             stack[-1].children.append(node)
         if tag in _VOID or m.group(3).endswith("/"):
             continue
+        if tag in _HIDDEN and tag not in _RAW and tag != "head" and not ended(tag, at):
+            continue
         if tag in _RAW:
             end = re.compile(f"</{tag}\\b", re.I).search(page, at)
             at = end.start() if end else n

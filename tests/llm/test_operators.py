@@ -308,6 +308,25 @@ def test_extraction_leaves_out_what_all_pages_share(spark):
     assert "All rights reserved." in got[50]  # a host with one page keeps all
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html><head><title>t</title><meta charset=utf-8><body><p>one</p>two</html>", "one\ntwo"),
+        ("<head><title>t</title><link href=x><div>one</div><p>two", "one\ntwo"),
+        ("<head><title>t</title> one", "one"),
+        ("<head><noscript><style>x</style><body><p>one</p><noscript>n</noscript>two", "one\ntwo"),
+        ("<head><title>t</title><script>x</script></head><body>one<head>two</head>", "onetwo"),
+        ("<body><svg><path d=x><p>one</p><svg><text>no</text></svg>two", "one\ntwo"),
+        ("<body><svg><foreignObject><p>no</p></foreignObject><text>no</text></svg>two", "two"),
+        ("<body><object data=x><p>one</p>two", "one\ntwo"),
+        ("<body><iframe src=x><p>one</p><iframe2>", "one"),
+        ("<body><object><p>no</p></object><iframe>no</iframe><p>one", "one"),
+    ],
+)
+def test_what_is_hidden_ends(page, text):
+    assert html_extract.render(page, "h", set()) == text
+
+
 def test_extraction_on_odd_input(spark):
     rows = [(1, None, "<p>a<p>b<br>c</div>"), (2, "x", None), (3, "http://h", ""), (None, "http://h", "<script>x<y</script>&lt;z"), (3, "http://h", ""), (4, "http://g", "<a href='" + "x" * 10**5 + "'>" + "w " * 10**5)]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")))
