@@ -3,29 +3,67 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes = threading.local()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which all executors share; made and set only where it is unset."""
+    """``spark.checkpoint.dir``, which all executors share. Where it is unset, a folder of this
+    machine is made and set, but only under a local master: elsewhere that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="newsloom-")
         spark.sparkContext.setCheckpointDir(where)
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back; removed at the end."""
+def materialise(df: DataFrame, what: str, outlives: bool = False) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back. The files go with ``discard``,
+    at the end of the innermost ``scratch`` (of the next one around it where the table
+    ``outlives`` that), or when the program ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/newsloom-{what}-{uuid.uuid4().hex}"
+    scopes = getattr(_scopes, "open", [])
+    scopes = scopes[:-1] if outlives else scopes
+    if scopes:
+        scopes[-1].append(path)
+    else:
+        atexit.register(_remove, spark, path)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._newsloom_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that ``materialise`` returned; nothing may read it any more."""
+    _remove(df.sparkSession, df._newsloom_path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables materialised inside are removed at the end, also after an error."""
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    made: list[str] = []
+    _scopes.open.append(made)
+    try:
+        yield
+    finally:
+        _scopes.open.pop()
+        for path in made:
+            _remove(spark, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
