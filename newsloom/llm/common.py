@@ -10,21 +10,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import materialise, shared_dir
+from ..plans.lineage import discard, materialise, scratch, shared_dir
 
-__all__ = ["bound_batches", "joined_side", "materialise", "row_key", "shared_dir", "small_batches", "table", "trim"]
+__all__ = ["bound_batches", "discard", "hashed", "joined_side", "materialise", "row_key", "scratch", "shared_dir", "small_batches", "table", "trim"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _size(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def hashed(df: DataFrame, most_bytes: int = 64 << 20, within: DataFrame | None = None) -> DataFrame:
+    """One side of a join: the built side of a shuffled hash join where a partition's share of its
+    files is small, which needs no sort of the other side. Where it isn't, the join is left to
+    Spark, whose sort-merge join spills. What isn't a written table is as large as the written
+    table ``within`` that it is a part of."""
+    return df.hint("shuffle_hash") if _size(within or df) <= most_bytes * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def joined_side(df: DataFrame, most_rows: int = 200_000, most_bytes: int = 16 << 20) -> DataFrame:
     """A written table as the smaller side of a join with texts: broadcast where its files and its
-    rows are measured to be few, else the built side of a shuffled hash join, which needs no sort
-    of the texts."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= most_bytes and df.count() <= most_rows else df.hint("shuffle_hash")
+    rows are measured to be few, else as ``hashed``."""
+    return F.broadcast(df) if _size(df) <= most_bytes and df.count() <= most_rows else hashed(df)
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -43,7 +53,9 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 <
 
 def bound_batches(df: DataFrame, most: int = 4 << 20) -> None:
     """Let no Arrow batch of the session hold more than ``most`` bytes: the usual bound is 10,000
-    rows, and with long texts a batch would be large in the JVM and in Python."""
+    rows, and with long texts a batch would be large in the JVM and in Python. The setting stays:
+    the bound must hold when the lazy result of an operator is read, after the operator returns. It
+    is only ever lowered, and changes no result."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(re.match(r"\d+", df.sparkSession.conf.get(name)).group()) > most:
         df.sparkSession.conf.set(name, str(most))

@@ -9,8 +9,10 @@ soon as the probability of reaching the threshold is below ``tolerance``. What i
 on the n-grams themselves, so no reported similarity is an estimate.
 
 A cluster of m near copies has m**2 / 2 pairs; so that not each carries two texts, the pairs are
-put in groups around the least member, groups are cut in blocks of about ``BLOCK`` documents, and a
-text is sent once to each pair of blocks. No bucket, list of partners or text is cut off.
+put in groups around the least member, groups are cut in blocks of about ``BLOCK`` documents or
+``BLOCK_BYTES``, and what is needed of a document is sent once to each pair of blocks. Signatures
+go first; texts follow only for documents of pairs that pruning has left. No bucket, list of
+partners or text is cut off.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialise, row_key, small_batches
+from .common import bound_batches, discard, hashed, materialise, row_key, small_batches
 
-N, THRESHOLD, TOLERANCE = 3, 0.5, 0.01
-BANDS, ROWS, STEP, BLOCK = 40, 4, 16, 256
+N, THRESHOLD, TOLERANCE = 3, 0.5, 0.001
+BANDS, ROWS, STEP, BLOCK, BLOCK_BYTES = 48, 4, 16, 256, 8 << 20
 HASHES = BANDS * ROWS
 
 _TOKEN = re.compile(r"\w+")
@@ -111,8 +113,8 @@ def _sign(n: int):
                 bands.append(_mix((s.reshape(BANDS, ROWS).astype(np.uint64) * p).sum(1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(at), batch.column("tie").take(at), pa.array(sets, pa.int64()), pa.array(signs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "tie", "node", "sign", "bands"],
+                [batch.column("doc_id").take(at), batch.column("tie").take(at), batch.column("size").take(at), pa.array(sets, pa.int64()), pa.array(signs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "tie", "size", "node", "sign", "bands"],
             )
 
     return run
@@ -139,49 +141,54 @@ def overlaps(pairs: np.ndarray, sets: dict[int, set]) -> np.ndarray:
     return both[x, y].astype(np.int64)
 
 
-def _verify(n: int, threshold: float, tolerance: float):
+def _of_blocks(batches: Iterator[pa.RecordBatch], column: str, decide) -> Iterator[pa.RecordBatch]:
+    """``decide(key, pairs, things)`` for each pair of blocks: ``pairs`` of nodes and, by node, what
+    ``column`` holds. Rows come in the order of their keys, for each key the nodes first."""
+    key, pairs, things = None, [], {}
+    for batch in batches:
+        for k, a, b, thing in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "b", column))):
+            if k != key:
+                if pairs:
+                    yield from decide(key, np.array(pairs, np.int64), things)
+                key, pairs, things = k, [], {}
+            if b is None:
+                things[a] = thing
+            else:
+                pairs.append((a, b))
+    if pairs:
+        yield from decide(key, np.array(pairs, np.int64), things)
+
+
+def _prune(threshold: float, tolerance: float):
+    """Of the pairs of each pair of blocks, those that may still reach the threshold."""
     least = least_matches(threshold, tolerance)
 
-    def decide(pairs: list[tuple[int, int]], signs: dict[int, np.ndarray], texts: dict[int, str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        part = np.array(pairs, np.int64)
+    def decide(key: int, pairs: np.ndarray, signs: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         nodes = np.fromiter(sorted(signs), np.int64, len(signs))
-        every = np.stack([signs[int(i)] for i in nodes])
-        x, y = np.searchsorted(nodes, part[:, 0]), np.searchsorted(nodes, part[:, 1])
-        equal = np.zeros(len(part), np.int32)
-        alive = np.arange(len(part))
+        every = np.frombuffer(b"".join(signs[int(i)] for i in nodes), np.uint32).reshape(len(nodes), HASHES)
+        x, y = np.searchsorted(nodes, pairs[:, 0]), np.searchsorted(nodes, pairs[:, 1])
+        equal = np.zeros(len(pairs), np.int32)
+        alive = np.arange(len(pairs))
         for step, fewest in enumerate(least):
             columns = every[:, step * STEP : (step + 1) * STEP]
             equal[alive] += (columns[x[alive]] == columns[y[alive]]).sum(1, dtype=np.int32)
             alive = alive[equal[alive] >= fewest]
-        if not len(alive):
-            return
-        part = part[alive]
-        sets = {int(i): ngrams(texts[int(i)], n) for i in np.unique(part)}
-        both = overlaps(part, sets)
-        sizes = [np.fromiter((len(sets[int(i)]) for i in part[:, k]), np.int64, len(part)) for k in (0, 1)]
+        if len(alive):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(alive), key)), pa.array(pairs[alive, 0]), pa.array(pairs[alive, 1])], ["key", "a", "b"])
+
+    return lambda batches: _of_blocks(batches, "sign", decide)
+
+
+def _verify(n: int, threshold: float):
+    def decide(key: int, pairs: np.ndarray, texts: dict[int, str]) -> Iterator[pa.RecordBatch]:
+        sets = {i: ngrams(text, n) for i, text in texts.items()}
+        both = overlaps(pairs, sets)
+        sizes = [np.fromiter((len(sets[int(i)]) for i in pairs[:, k]), np.int64, len(pairs)) for k in (0, 1)]
         similar = both / (sizes[0] + sizes[1] - both)
         good = similar >= threshold
-        yield part[good, 0], part[good, 1], similar[good]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, pairs, signs, texts = None, [], {}, {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for a, b, j in decide(pairs, signs, texts) if pairs else ():
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(j, pa.float64())], ["a", "b", "jaccard"])
-
-        for batch in batches:
-            for k, a, b, sign, text in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "b", "sign", "text"))):
-                if k != key:
-                    yield from flush()
-                    key, pairs, signs, texts = k, [], {}, {}
-                if b is None:
-                    signs[a], texts[a] = np.frombuffer(sign, np.uint32), text
-                else:
-                    pairs.append((a, b))
-        yield from flush()
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[good, 0]), pa.array(pairs[good, 1]), pa.array(similar[good])], ["a", "b", "jaccard"])
 
-    return run
+    return lambda batches: _of_blocks(batches, "text", decide)
 
 
 class Matches:
@@ -190,8 +197,8 @@ class Matches:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, tolerance: float):
         bound_batches(docs)
-        keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("tie"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
-        signed = materialise(keyed.mapInArrow(_sign(n), "doc_id long, tie long, node long, sign binary, bands array<long>"), "signatures")
+        keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("tie"), F.octet_length(text_col).alias("size"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
+        signed = materialise(keyed.mapInArrow(_sign(n), "doc_id long, tie long, size int, node long, sign binary, bands array<long>"), "signatures")
         self.members = signed.select("node", "doc_id", "tie")
         bands = signed.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("band"))
         left, right = bands.select(F.col("node").alias("a"), "band"), bands.select(F.col("node").alias("b"), "band")
@@ -199,29 +206,40 @@ class Matches:
         both = candidates.select("a", "b").union(candidates.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lead = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("lead"))
         led = candidates.join(lead, "a")
-        size = led.groupBy("lead").agg(F.ceil(F.approx_count_distinct("b") / F.lit(BLOCK)).alias("blocks"))
+        one = signed.groupBy("node").agg(F.min(F.struct("doc_id", "tie", "size")).alias("at"), F.first("sign").alias("sign")).select("node", "at.*", "sign")
+        weighed = led.select("lead", F.col("b").alias("node")).distinct().join(one.select("node", "size"), "node")
+        size = weighed.groupBy("lead").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum("size") / F.lit(BLOCK_BYTES))).alias("blocks"))
         block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
         keyed_pairs = materialise(
             led.join(size, "lead").select(F.xxhash64("lead", F.least(block("a"), block("b")), F.greatest(block("a"), block("b"))).alias("key"), "a", "b"), "pairs"
         )
-        needed = keyed_pairs.select("key", "a").union(keyed_pairs.select("key", "b")).distinct().toDF("key", "node")
-        one = signed.groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("at"), F.first("sign").alias("sign"))
-        wanted = needed.groupBy("node").agg(F.collect_list("key").alias("keys")).join(one, "node").select("node", "keys", "sign", "at.doc_id", "at.tie")
-        with_text = (
-            keyed.join(wanted.hint("shuffle_hash"), (keyed.tie == wanted.tie) & keyed.doc_id.eqNullSafe(wanted.doc_id))
-            .select(F.explode("keys").alias("key"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "sign", "text")
-        )
-        rows = with_text.union(keyed_pairs.select("key", "a", "b", F.lit(None).cast("binary"), F.lit(None).cast("string")))
-        sorted_rows = rows.repartition("key").sortWithinPartitions("key", F.col("b").asc_nulls_first())
-        self.pairs = materialise(sorted_rows.mapInArrow(_verify(n, threshold, tolerance), "a long, b long, jaccard double"), "matches")
+        discard(candidates)
+
+        def wanted(pairs: DataFrame) -> DataFrame:
+            return pairs.select("key", "a").union(pairs.select("key", "b")).distinct().toDF("key", "node")
+
+        def by_key(nodes: DataFrame, pairs: DataFrame, column: str, kind: str) -> DataFrame:
+            rows = nodes.select("key", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), column).union(pairs.select("key", "a", "b", F.lit(None).cast(kind)))
+            return rows.repartition("key").sortWithinPartitions("key", F.col("b").asc_nulls_first())
+
+        signs = wanted(keyed_pairs).join(one.select("node", "sign"), "node")
+        likely = materialise(by_key(signs, keyed_pairs, "sign", "binary").mapInArrow(_prune(threshold, tolerance), "key long, a long, b long"), "likely")
+        discard(keyed_pairs)
+        places = wanted(likely).groupBy("node").agg(F.collect_list("key").alias("keys")).join(one, "node").select("node", "keys", "doc_id", "tie")
+        places = materialise(places, "places")
+        texts = keyed.join(hashed(places), (keyed.tie == places.tie) & keyed.doc_id.eqNullSafe(places.doc_id)).select(F.explode("keys").alias("key"), "node", "text")
+        self.pairs = materialise(by_key(texts, likely, "text", "string").mapInArrow(_verify(n, threshold), "a long, b long, jaccard double"), "matches")
+        discard(likely)
+        discard(places)
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """All matching documents as rows (ids_a, ids_b, jaccard): each id of the sorted list ids_a
-    matches each of ids_b with this similarity. Documents with one set of n-grams share a list;
-    where there are two or more of them, a row has this list on both sides and similarity 1. For
-    two different sets, ids_a is the list with the smaller first id. That is the whole join,
-    without the square of the number of copies; ``expand`` gives plain pairs.
+    """All matching documents as rows (doc_ids, n_first, jaccard): any two documents of the list
+    ``doc_ids`` match. The first ``n_first`` of them have one set of n-grams and the others
+    another one, and ``jaccard`` is the similarity of the two sets; documents with one set have 1.
+    A set of two or more documents also has a row of its own, with n_first the length of the list.
+    Either part of a list is sorted, and the part with the smaller first id comes first. That is
+    the whole join, without the square of the number of copies; ``expand`` gives plain pairs.
 
     Null, empty and wordless texts match nothing, a text with fewer than n words is one n-gram.
     Rows with a null id can't be named and are left out. Repeated rows with one id are one
@@ -229,31 +247,38 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     empty table gives an empty result. Other columns are not looked at."""
     m = Matches(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, n, threshold, tolerance)
     lists = m.members.groupBy("node").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
-    same = lists.filter(F.size("ids") > 1).select(F.col("ids").alias("ids_a"), F.col("ids").alias("ids_b"), F.lit(1.0).alias("jaccard"))
+    same = lists.filter(F.size("ids") > 1).select(F.col("ids").alias("doc_ids"), F.size("ids").alias("n_first"), F.lit(1.0).alias("jaccard"))
     x, y = lists.toDF("a", "x"), lists.toDF("b", "y")
     near = m.pairs.join(x, "a").join(y, "b")
     first = F.col("x") <= F.col("y")
-    near = near.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("ids_a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("ids_b"), F.round("jaccard", 6).alias("jaccard"))
+    near = near.select(F.when(first, F.concat("x", "y")).otherwise(F.concat("y", "x")).alias("doc_ids"), F.when(first, F.size("x")).otherwise(F.size("y")).alias("n_first"), F.round("jaccard", 6).alias("jaccard"))
     return same.union(near)
 
 
 def expand(rows: DataFrame) -> DataFrame:
-    """The pairs (doc_a, doc_b, jaccard), doc_a < doc_b, that rows of ``join`` stand for."""
-    pairs = rows.select(F.explode("ids_a").alias("p"), "ids_b", "jaccard").select("p", F.explode("ids_b").alias("q"), "jaccard").filter("p != q")
+    """The pairs (doc_a, doc_b, jaccard), doc_a < doc_b, that rows of ``join`` stand for. Of an
+    empty table none; an id that is in both parts of a row is no pair with itself."""
+    whole = F.col("n_first") == F.size("doc_ids")
+    rest = F.when(whole, F.col("doc_ids")).otherwise(F.expr("slice(doc_ids, n_first + 1, size(doc_ids))"))
+    pairs = rows.select(F.explode(F.expr("slice(doc_ids, 1, n_first)")).alias("p"), rest.alias("rest"), "jaccard").select("p", F.explode("rest").alias("q"), "jaccard").filter("p != q")
     return pairs.select(F.least("p", "q").alias("doc_a"), F.greatest("p", "q").alias("doc_b"), "jaccard").distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
     """(node, label) for every node of the edges (a, b): the least node of its connected component.
+    A null end makes no edge, repeated edges and loops change nothing, no edges give no rows.
     Each round takes the least label around and then the label of the label, so rounds grow with
     the logarithm of a component's width; each is written to the shared folder."""
+    pairs = pairs.filter("a is not null and b is not null")
     edges = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    last = labels = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
         around = edges.join(labels, edges.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         step = labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("via"))
         jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
         new = materialise(step.join(jump, "via").select("node", "old", F.least("via", "far").alias("label")), "labels")
+        discard(last)
+        last = new
         if not new.filter("old != label").take(1):
             return new.select("node", "label")
         labels = new.select("node", "label")
@@ -273,7 +298,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     )
     key = row_key(id_col, text_col)
     gone = fates.select(F.col("tie").alias("__newsloom_tie"))
-    kept = docs.join(gone.hint("shuffle_hash"), key == F.col("__newsloom_tie"), "left_anti")
+    kept = docs.join(hashed(gone), key == F.col("__newsloom_tie"), "left_anti")
     again = fates.filter("stays").select(F.col("tie").alias("__newsloom_again"))
     if not again.take(1):
         return kept

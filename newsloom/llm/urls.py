@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import hashed, materialise
 
 BITS, PER_BLOCK = 6, 16  # bits of a URL in its block; URLs for each block of 256 bits
 BROADCAST_BYTES = 64 << 20
@@ -82,7 +82,7 @@ def match(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col:
     # only possible hits have a key; the rest pass through the join with a null, spread by their id
     key = F.when(fits, F.col("canonical"))
     probed = materialise(probed.select("page_id", "url", "canonical", key.alias("key")), "probed")
-    hits = probed.filter("key is not null").join(wanted.withColumnRenamed("canonical", "key").withColumn("listed", F.lit(True)).hint("shuffle_hash"), "key", "left")
+    hits = probed.filter("key is not null").join(hashed(wanted.withColumnRenamed("canonical", "key").withColumn("listed", F.lit(True))), "key", "left")
     hits = hits.select("page_id", "url", "canonical", F.coalesce("listed", F.lit(False)).alias("listed"))
     return probed.filter("key is null").select("page_id", "url", "canonical", F.lit(False).alias("listed")).union(hits)
 

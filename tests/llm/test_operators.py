@@ -139,6 +139,24 @@ def test_jaccard_join_of_many_near_copies(spark):
     assert [r.doc_id for r in kept.collect()] == [0]
 
 
+def test_jaccard_rows_hold_both_lists(spark):
+    words = [f"w{k}" for k in range(60)]
+    near = " ".join(words[:-1] + ["other"])
+    rows = [(5, " ".join(words)), (9, " ".join(words)), (2, near), (7, near), (7, near), (3, "nothing like it at all")]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_ids, r.n_first) for r in got.collect()) == [([2, 7], 2), ([2, 7, 5, 9], 2), ([5, 9], 2)]
+    assert len(jaccard.expand(got).collect()) == 6
+
+
+def test_recall_at_the_threshold():
+    least = jaccard.least_matches(jaccard.THRESHOLD, jaccard.TOLERANCE)
+    equal = np.random.RandomState(1).rand(20_000, jaccard.HASHES) < jaccard.THRESHOLD
+    found = equal.reshape(-1, jaccard.BANDS, jaccard.ROWS).all(2).any(1)
+    for step, fewest in enumerate(least):
+        found &= equal[:, : (step + 1) * jaccard.STEP].sum(1) >= fewest
+    assert found.mean() > 0.94
+
+
 def test_overlaps_both_ways():
     rnd = random.Random(1)
     sets = {k: {(str(rnd.randint(0, 60)),) for _ in range(30)} for k in range(12)}
@@ -154,14 +172,14 @@ def test_least_matches_rise():
 
 def test_jaccard_on_odd_input(spark):
     got = jaccard.join(odd(spark))
-    assert got.columns == ["ids_a", "ids_b", "jaccard"] and got.count() == 0
+    assert got.columns == ["doc_ids", "n_first", "jaccard"] and got.count() == 0 and jaccard.expand(got).count() == 0
     assert jaccard.join(nothing(spark)).count() == 0
     kept = jaccard.drop_near_duplicates(odd(spark))
     assert kept.columns == odd(spark).columns
     assert [r[0] for r in rows_of(kept.select("doc_id"), "doc_id")].count(1) == 1 and kept.count() == 8
     assert jaccard.drop_near_duplicates(nothing(spark)).count() == 0
     two = spark.createDataFrame([(7, "a b c d"), (7, "a b c e"), (8, "a"), (9, "A!"), (None, "a")], "doc_id long, text string")
-    assert jaccard.join(two).filter("jaccard = 1").collect()[0].ids_a == [8, 9]
+    assert [tuple(r) for r in jaccard.join(two).filter("jaccard = 1").collect()] == [([8, 9], 2, 1.0)]
     assert sorted(r.doc_id for r in jaccard.drop_near_duplicates(two).collect() if len(r.text) < 3) == [8]
 
 
@@ -472,8 +490,9 @@ def test_line_dedup_of_a_chain_in_another_order(spark, request):
         assert {(r.doc_id, r.tie): set(r.lines) for r in line_dedup.repeated_lines(df).collect()} == lines_in_order(df)
 
 
-def test_line_dedup_of_a_shuffled_table(spark, request):
-    spark.conf.set("spark.sql.shuffle.partitions", "1")
+@pytest.mark.parametrize("partitions", ["1", "32"])
+def test_line_dedup_of_a_shuffled_table(spark, request, partitions):
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
     request.addfinalizer(lambda: spark.conf.set("spark.sql.shuffle.partitions", "4"))
     rnd = random.Random(9)
     rows = []
