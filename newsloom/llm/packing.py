@@ -8,14 +8,19 @@ With W the running token count, the least cost of ending a window after sentence
     f(i) = cut(i) + window - W(i) + min over j < i, W(j) >= W(i) - window of f(j) + W(j)
 
 and the minimum over a range whose both ends only move forward is kept in a monotone queue: O(n).
-
-The sequence is cut into shards of ``shard_span`` consecutive ids, each packed by itself, so the
-work is spread and no shard grows with the corpus. Only sentence lengths and offsets are shuffled,
-not texts: a window is a list of spans (doc_id, from, to) of characters.
+Tokens are the ids of the SentencePiece model.
+
+So that the work is spread, the sequence is cut into shards by its running token count: a document
+belongs to the shard in which it begins, whatever its id. Each shard is packed by itself, so of the
+optimum over the whole sequence no more is given up than the last window of every ``shard_tokens``
+tokens. The running count is made in id order by a range partition: counts within a partition,
+and the totals of the partitions before it. Only sentence lengths and offsets are shuffled, not
+texts: a window is a list of spans (doc_id, from, to) of characters.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import deque
 from collections.abc import Iterator
@@ -23,34 +28,50 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, row_key, small_batches
+from .common import bound_batches, discard, materialise, row_key, small_batches
+from .sentencepiece_codec import MODEL, Codec, codec, shipped
 
-WINDOW, TRUNCATION, SHARD_SPAN = 2048, 256.0, 512
+WINDOW, TRUNCATION, SHARD_TOKENS = 2048, 256.0, 1 << 20
 _END = re.compile(r"(?<=[.!?…。])\s+|\n+")
-_WORD = re.compile(r"\S+")
-
-
-def units_of(text: str, window: int) -> tuple[list[int], list[int]]:
-    """Ends (in characters) and token counts of the sentences of a text; a token is a word.
-    A sentence of more than ``window`` tokens is cut every ``window`` tokens."""
-    ends, counts, start = [], [], 0
-    for stop in [*(m.end() for m in _END.finditer(text)), len(text)]:
-        if stop == start:
-            continue
-        n = len(text[start:stop].split())
-        if n > window:
-            words = [m.end() for m in _WORD.finditer(text, start, stop)]
-            for at in range(window - 1, n - 1, window):
-                ends.append(words[at])
-                counts.append(window)
-            n -= window * len(range(window - 1, n - 1, window))
-        ends.append(stop)
-        counts.append(n)
-        start = stop
-    return ends, counts
+
+
+def units_of(texts: list[str], window: int, c: Codec) -> list[tuple[list[int], list[int]]]:
+    """For each text the ends (in characters) and token counts of its sentences. A sentence has
+    the tokens that it is encoded to by itself, without the white space at its end; one of more
+    than ``window`` tokens is cut where the next word would be too many, and a word of more than
+    that where the next piece would be."""
+    stops = [[m.end() for m in _END.finditer(text)] for text in texts]
+    for text, found in zip(texts, stops):
+        if text and (not found or found[-1] < len(text)):
+            found.append(len(text))
+    words, ids = c.ids_of_words([text[a:b].rstrip() for text, found in zip(texts, stops) for a, b in zip([0, *found], found)])
+    size = lambda w: len(ids[w]) // 4
+    out, at = [], 0
+    for text, found in zip(texts, stops):
+        ends: list[int] = []
+        counts: list[int] = []
+        for start, stop in zip([0, *found], found):
+            n = sum(map(len, map(ids.__getitem__, words[at]))) // 4
+            if n > window:
+                n, place = 0, start - c.prefix
+                for word in words[at]:
+                    parts = [(len(word), size(word))] if size(word) <= window else [(len(p), len(c._ids([p]))) for p in c.stream(word)]
+                    for length, tokens in parts:
+                        if n + tokens > window:
+                            ends.append(place)
+                            counts.append(n)
+                            n = 0
+                        place += length
+                        n += tokens
+            ends.append(stop)
+            counts.append(n)
+            at += 1
+        out.append((ends, counts))
+    return out
 
 
 def cuts(counts: list[int], inside: list[bool], window: int, truncation: float) -> list[int]:
@@ -82,28 +103,39 @@ def cuts(counts: list[int], inside: list[bool], window: int, truncation: float)
     return out[::-1]
 
 
-def _measure(window: int):
+def _measure(model, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
-            ends, counts = [], []
-            for text in batch.column("text").to_pylist():
-                e, c = units_of(text or "", window)
-                ends.append(np.array(e, np.int32))
-                counts.append(np.array(c, np.int32))
+        c = codec(model.value)
+        for batch in small_batches(batches, "text", 4 << 20):
+            found = units_of(batch.column("text").to_pylist(), window, c)
             kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("shard"), batch.column("doc_id"), batch.column("tie"), pa.array(ends, kind), pa.array(counts, kind)], ["shard", "doc_id", "tie", "ends", "counts"]
-            )
+            lists = [pa.array([np.array(x[k], np.int32) for x in found], kind) for k in (0, 1)]
+            sums = pa.array([sum(x[1]) for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), sums, *lists], ["doc_id", "tie", "tokens", "ends", "counts"])
 
     return run
 
 
+PLACED = "part int, before long, tokens long, doc_id long, tie long, ends array<int>, counts array<int>"
+
+
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row of a partition with the partition's number and the tokens of the rows before."""
+    part, before = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        tokens = batch.column("tokens").to_numpy()
+        sums = np.cumsum(tokens)
+        columns = [pa.array(np.full(len(tokens), part, np.int32)), pa.array(before + sums - tokens), *(batch.column(c) for c in ("tokens", "doc_id", "tie", "ends", "counts"))]
+        before += int(sums[-1]) if len(sums) else 0
+        yield pa.RecordBatch.from_arrays(columns, ["part", "before", "tokens", "doc_id", "tie", "ends", "counts"])
+
+
 WINDOWS = "shard long, window int, doc_ids array<long>, starts array<int>, ends array<int>, n_tokens int, padding int, truncated int"
 
 
 def _pack(window: int, truncation: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "tie"], kind="stable", na_position="last")
+        pdf = pdf.sort_values(["at", "doc_id", "tie"], kind="stable", na_position="last")
         ids = [None if pd.isna(x) else int(x) for x in pdf.doc_id]
         counts, inside, owner, froms, tos = [], [], [], [], []
         for k, (e, c) in enumerate(zip(pdf.ends, pdf.counts)):
@@ -133,20 +165,30 @@ def _pack(window: int, truncation: float):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, truncation: float = TRUNCATION, shard_span: int = SHARD_SPAN) -> DataFrame:
+def pack(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, truncation: float = TRUNCATION, shard_tokens: int = SHARD_TOKENS, model: str = MODEL
+) -> DataFrame:
     """A row for every window: shard, window (its number in the shard), doc_ids, starts and ends
     (the characters from starts[k] to ends[k] of the document doc_ids[k]), n_tokens, padding and
     truncated (1 if it ends inside a document).
 
     Every character of every text is in exactly one window. Null and empty texts have no tokens
-    and are in no window. Rows with a null id are packed with each other in shards of their own
-    (negative, by content). Rows with one id follow each other by content; repeated rows are
-    packed as often as they occur. Of cuts of equal cost the one with the shortest last window is
-    taken. An empty table gives no windows. Other columns don't matter. Ids should be dense: the
-    shards are runs of ``shard_span`` ids, and each ends its last window."""
+    and are in no window; blank ones have no tokens and are. Rows with a null id come last. Rows
+    with one id, or none, follow each other by content; repeated rows are packed as often as they
+    occur. Of cuts of equal cost the one with the shortest last window is taken. An empty table
+    gives no windows. Other columns don't matter. Ids only give the order: gaps between them
+    change nothing. ``window`` must be 4 at least, the most tokens that a character can have."""
     bound_batches(docs)
-    key = row_key(text_col)
-    shard = F.coalesce(F.floor(F.col(id_col) / F.lit(shard_span)), -1 - F.pmod(key, F.lit(64)))
-    rows = docs.select(shard.cast("long").alias("shard"), F.col(id_col).cast("long").alias("doc_id"), key.alias("tie"), F.col(text_col).alias("text"))
-    measured = rows.filter(F.length("text") > 0).mapInArrow(_measure(window), "shard long, doc_id long, tie long, ends array<int>, counts array<int>")
-    return measured.groupBy("shard").applyInPandas(_pack(window, truncation), WINDOWS)
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(text_col).alias("tie"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
+    measured = materialise(rows.mapInArrow(_measure(shipped(spark, model), window), "doc_id long, tie long, tokens long, ends array<int>, counts array<int>"), "measured")
+    order = [F.col("doc_id").asc_nulls_last(), F.col("tie")]
+    ranged = measured.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    placed = materialise(ranged.mapInArrow(_place, PLACED), "placed")
+    discard(measured)
+    totals = {r[0]: r[1] for r in placed.groupBy("part").agg(F.sum("tokens")).collect()}  # a number for each partition
+    offsets = [(part, before) for (part, n), before in zip(sorted(totals.items()), itertools.accumulate([0, *(n for _, n in sorted(totals.items()))]))]
+    known = spark.createDataFrame(offsets, "part int, offset long")
+    at = (F.col("offset") + F.col("before")).alias("at")
+    sharded = placed.join(F.broadcast(known), "part").select(at, "doc_id", "tie", "ends", "counts")
+    return sharded.withColumn("shard", F.floor(F.col("at") / F.lit(shard_tokens))).groupBy("shard").applyInPandas(_pack(window, truncation), WINDOWS)

@@ -9,8 +9,11 @@ what the merges would have made, in one pass and without a queue of merges.
 The forward pass keeps a window of as many positions as the longest piece has characters. As soon
 as the backpointer paths of all positions in it meet in one boundary, the ids before that are
 final and given out; a text of any length needs no more than that window and what lies between
-two meetings. Most meetings are at spaces, which no piece has in its middle; what lies between
-two of them is a word, and the ids of words are remembered in a table of bounded size.
+two meetings. Most meetings are at spaces, which no piece has in its middle: all paths go through
+them. What lies between two of them is a word, so the words of a batch are passes of their own that
+run side by side, a character at a time, as columns of numpy arrays (``_Lanes``); few or very long
+ones run one after the other (``Codec.stream``). Ids of words are remembered in a table of bounded
+size.
 """
 
 from __future__ import annotations
@@ -19,10 +22,12 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bound_batches, small_batches
@@ -66,9 +71,9 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Codec:
     """A SentencePiece model: ``encode`` a text to ids, ``decode`` ids to a text."""
 
-    def __init__(self, path: str, remembered: int = 1_000_000):
-        with open(path, "rb") as f:
-            message = f.read()
+    def __init__(self, model: str | bytes, remembered: int = 1_000_000):
+        """``model``: the path of a model file, or its bytes."""
+        message = model if isinstance(model, bytes) else Path(model).read_bytes()
         self.pieces: list[tuple[str, float, int]] = []
         self.kind, self.fallback, self.prefix, self.squeeze = UNIGRAM, False, True, True
         for n, value in _fields(message):
@@ -108,11 +113,10 @@ class Codec:
         if self.kind == MERGES:
             self.stable = {p for p in self.ids if self.merged(p) == [p]}
             self.pairs = _Pairs(self, 1 << 19)
-            self.reach: dict[str, int] = {}  # by last two characters, the longest piece
-            for p in self.stable:
-                self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 1))
+            self.lanes = _Lanes(self)
         self.whole_words = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.known = _Known(self, remembered)
+        self.known: dict[str, bytes] = {}  # ids by word, packed; it is emptied when it is full
+        self.remembered = remembered
         self.texts = [self._text(i) for i in range(len(self.pieces))]
         self.byte_ids = frozenset(self.bytes.values())
 
@@ -129,32 +133,6 @@ class Codec:
                 return parts
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
 
-    def learn(self, words: list[str]) -> None:
-        """Remember the ids of words of a model of merges. The words are taken in sorted order,
-        and the forward pass goes on from the beginning that a word shares with the one before:
-        the last piece of a prefix doesn't depend on what follows."""
-        stable, pairs, reach, known = self.stable, self.pairs, self.reach, self.known
-        before, last = "", [""]
-        for word in sorted(words):
-            i, most = 0, min(len(word), len(before))
-            while i < most and word[i] == before[i]:
-                i += 1
-            del last[i + 1 :]
-            for i in range(i + 1, len(word) + 1):
-                first = i - reach.get(word[i - 2 : i], 1) if i > 1 else 0
-                for j in range(first if first > 0 else 0, i):
-                    piece = word[j:i]
-                    if piece in stable and (not j or pairs[last[j], piece]):
-                        last.append(piece)
-                        break
-                else:
-                    last.append(word[i - 1])
-            before, n, out = word, len(word), []
-            while n:
-                out.append(last[n])
-                n -= len(last[n])
-            known[word] = self._packed(self._ids(reversed(out)))
-
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}i", *ids)
@@ -239,16 +217,23 @@ class Codec:
         text = ((SPACE if self.prefix else "") + text).replace(" ", SPACE) if text else ""
         return _WORDS.findall(text) if self.whole_words else [text]
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+    def ids_of_words(self, texts: list[str]) -> tuple[list[list[str]], dict[str, bytes]]:
+        """The words of each text, and the packed ids of all of them by word."""
         cut = [self.words(text) for text in texts]
-        known = self.known
-        if self.kind == MERGES:
-            new = [w for w in set().union(*cut) if w not in known and len(w) <= 64]
-            if len(known) + len(new) > known.most:
-                known.clear()
-                new = [w for w in set().union(*cut) if len(w) <= 64]
-            self.learn(new)
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4") for words in cut]
+        known, every = self.known, set().union(*cut)
+        new = [w for w in every if w not in known]
+        if len(known) + len(new) > self.remembered:
+            known.clear()
+            new = list(every)
+        found = self.lanes.ids(new) if self.kind == MERGES else [self._packed(self._ids(self.stream(w))) for w in new]
+        long = {}
+        for w, ids in zip(new, found):
+            (known if len(w) <= 64 else long)[w] = ids
+        return cut, known if not long else known | long
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        cut, found = self.ids_of_words(texts)
+        return [np.frombuffer(b"".join(map(found.__getitem__, words)), "<i4") for words in cut]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_batch([text])[0].tolist()
@@ -269,21 +254,165 @@ class Codec:
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
-class _Known(dict):
-    """Ids by word, packed. Words over 64 characters are not remembered."""
+class _Table:
+    """int64 keys >= 0 to int32 values by open addressing; whole arrays are looked up at once."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.values, self.n = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32), 0
+
+    def put(self, key: int, value: int) -> None:
+        at = (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - self.bits
+        while self.keys[at] not in (-1, key):
+            at = (at + 1) & ((1 << self.bits) - 1)
+        self.n += self.keys[at] == -1
+        self.keys[at], self.values[at] = key, value
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values, -1 where a key isn't there."""
+        at = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+        there = self.keys[at]
+        out = np.where(there == keys, self.values[at], np.int32(-1))
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[at[left]]
+            hit = there == keys[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (there >= 0)]
+        return out
 
-    def __init__(self, codec: Codec, most: int):
-        super().__init__()
-        self.codec, self.most = codec, most
 
-    def __missing__(self, word: str) -> bytes:
-        c = self.codec
-        ids = c._packed(c._ids(c.stream(word)))
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = ids
-        return ids
+class _Lanes:
+    """The streaming forward pass for many words side by side. Position i of all words is done at
+    once: a tree of the stable pieces, read from their ends, gives the pieces that end there, and a
+    table of pairs says which of them may follow the piece before. A character that is no piece is
+    a piece by itself, with a code after those of the pieces."""
+
+    CELLS, FEWEST = 1 << 20, 48
+
+    def __init__(self, codec: Codec):
+        self.codec = codec
+        self.pieces = sorted(codec.stable)
+        self.vocabulary = np.array([codec.ids[p] for p in self.pieces] + [-1], np.int32)
+        states: dict[tuple[int, str], int] = {}
+        ends = [-1]
+        for code, piece in enumerate(self.pieces):
+            at = 0
+            for c in reversed(piece):
+                step = states.get((at, c))
+                if step is None:
+                    step = states[at, c] = len(ends)
+                    ends.append(-1)
+                at = step
+            ends[at] = code
+        self.ends = np.array(ends, np.int32)
+        self.tree = _Table(max(4, (4 * len(ends)).bit_length()))
+        for (at, c), step in states.items():
+            self.tree.put(at << 21 | ord(c), step)
+        self.pairs = _Table(21)
+
+    def piece(self, code: int) -> str:
+        return self.pieces[code] if code < len(self.pieces) else chr(code - len(self.pieces))
+
+    def fit(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Whether merging gives two neighbouring pieces again."""
+        keys = before.astype(np.int64) << 21 | after
+        out = self.pairs.get(keys)
+        unknown = np.unique(keys[out < 0])
+        if len(unknown):
+            if self.pairs.n + len(unknown) > 1 << 20:
+                self.pairs.clear()
+                unknown = np.unique(keys)
+            for key in unknown.tolist():
+                a, b = self.piece(key >> 21), self.piece(key & (1 << 21) - 1)
+                self.pairs.put(key, int(self.codec.merged(a + b) == [a, b]))
+            out = self.pairs.get(keys)
+        return out == 1
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """The packed ids of each word."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")
+        rising = lengths[order]
+        out: list[bytes] = [b""] * len(words)
+        at = 0
+        while at < len(words):
+            longest = 2 * int(rising[at]) + 8
+            stop = max(at + 1, min(int(np.searchsorted(rising, longest, "right")), at + self.CELLS // longest))
+            part = order[at:stop].tolist()
+            some = [words[k] for k in part]
+            found = self.forward(some, rising[at:stop]) if len(some) >= self.FEWEST else [self.codec._packed(self.codec._ids(self.codec.stream(w))) for w in some]
+            for k, ids in zip(part, found):
+                out[k] = ids
+            at = stop
+        return out
+
+    def forward(self, words: list[str], lengths: np.ndarray) -> list[bytes]:
+        """``ids`` for words in the order of their lengths."""
+        most, longest, n_pieces = int(lengths[-1]), self.codec.longest, len(self.pieces)
+        chars = np.full((len(words), most), (1 << 21) - 1, np.int64)
+        chars[np.arange(most) < lengths[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        shape = (len(words), most + 1)
+        last, back, root, final = np.zeros(shape, np.int32), np.zeros(shape, np.int32), np.zeros(shape, np.int32), np.zeros(shape, bool)
+        done = np.zeros(len(words), np.int64)
+        for i in range(1, most + 1):
+            first = int(np.searchsorted(lengths, i))
+            here = np.arange(first, len(words))
+            code, size = n_pieces + chars[first:, i - 1], np.ones(len(here), np.int64)
+            live, state = here, np.zeros(len(here), np.int64)
+            for n in range(1, min(i, longest) + 1):
+                state = self.tree.get(state << 21 | chars[live, i - n]).astype(np.int64)
+                there = state >= 0
+                live, state = live[there], state[there]
+                if not len(live):
+                    break
+                piece = self.ends[state]
+                whole = piece >= 0
+                lane, piece = live[whole], piece[whole]
+                if 1 < n < i and len(lane):
+                    good = self.fit(last[lane, i - n], piece)
+                    lane, piece = lane[good], piece[good]
+                code[lane - first], size[lane - first] = piece, n
+            before = i - size
+            last[first:, i], back[first:, i] = code, before
+            root[first:, i] = np.where(before == done[first:], i, root[here, before])
+            self.commit(here[done[first:] < i - longest + 1], i, back, root, final, done)
+        lane, at = np.arange(len(words)), lengths.copy()
+        while len(lane):
+            final[lane, at] = True
+            at = back[lane, at]
+            left = at > done[lane]
+            lane, at = lane[left], at[left]
+        rows, places = np.nonzero(final)
+        codes = last[rows, places]
+        ends = np.cumsum(np.bincount(rows, minlength=len(words)))
+        packed = self.vocabulary[np.minimum(codes, n_pieces)].astype("<i4").tobytes()
+        out = [packed[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        for k in np.unique(rows[codes >= n_pieces]).tolist():
+            pieces = map(self.piece, codes[ends[k - 1] if k else 0 : ends[k]].tolist())
+            out[k] = self.codec._packed(self.codec._ids(pieces))
+        return out
+
+    def commit(self, lane: np.ndarray, i: int, back: np.ndarray, root: np.ndarray, final: np.ndarray, done: np.ndarray) -> None:
+        """Where the paths of all positions of the window before i first go through one boundary,
+        that boundary is final; so on until they differ. ``root`` is that first boundary."""
+        start = i - self.codec.longest + 1
+        while len(lane):
+            roots = root[lane, start : i + 1]
+            same = (roots == roots[:, :1]).all(1)
+            lane, meet = lane[same], roots[same, 0]
+            if not len(lane):
+                return
+            final[lane, meet] = True
+            done[lane] = meet
+            for p in range(int(meet.min()) + 1, i + 1):
+                before = back[lane, p]
+                root[lane, p] = np.where(before == meet, p, root[lane, before])
+            lane = lane[meet < start]
 
 
 class _Pairs(dict):
@@ -301,13 +430,18 @@ class _Pairs(dict):
 
 
 @lru_cache(2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(model: str | bytes) -> Codec:
+    return Codec(model)
+
+
+def shipped(spark: SparkSession, model: str) -> Broadcast:
+    """The bytes of a model file that only the driver has to have."""
+    return spark.sparkContext.broadcast(Path(model).read_bytes())
 
 
-def _encode(model: str):
+def _encode(model: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model)
+        c = codec(model.value)
         for batch in small_batches(batches, "text", 4 << 20):
             texts = batch.column("text").to_pylist()
             parts = c.encode_batch([text or "" for text in texts])
@@ -332,16 +466,19 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     not looked at and don't come back."""
     bound_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(_encode(model), "doc_id long, ids array<int>, round_trip boolean")
+    out = rows.mapInArrow(_encode(shipped(docs.sparkSession, model)), "doc_id long, ids array<int>, round_trip boolean")
     return out.select("doc_id", "ids", F.when(F.col("ids").isNotNull(), F.size("ids")).alias("n_ids"), "round_trip")
 
 
 def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
     """doc_id and text for every row of ``rows``; null ids give a null text, the empty list ''.
-    Bytes that aren't UTF-8 become U+FFFD. An id outside the model is an error."""
+    Bytes that aren't UTF-8 become U+FFFD. An id outside the model, or a null in a list, is an
+    error. Repeated rows all come back; an empty table gives an empty result; other columns are not
+    looked at and don't come back."""
+    model_bytes = shipped(rows.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model)
+        c = codec(model_bytes.value)
         for batch in batches:
             texts = [None if ids is None else c.decode(ids) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])

@@ -67,6 +67,25 @@ def test_sentencepiece_equals_the_library(spark, docs):
         assert codec.decode(ids.tolist()) == library.decode(ids.tolist())
 
 
+def test_lanes_equal_the_library():
+    library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=sp.MODEL)
+    codec = sp.Codec(sp.MODEL, remembered=500)
+    rnd = random.Random(8)
+    for size in (6, 40, 300):
+        texts = ["".join(rnd.choice("theingtoaé日b1▁ ") for _ in range(rnd.randint(1, size))) for _ in range(400)]
+        assert [x.tolist() for x in codec.encode_batch(texts)] == library.encode(texts)
+    assert codec.lanes.forward(["then"], np.array([4])) == [codec._packed(codec._ids(codec.stream("then")))]
+
+
+def test_lanes_commit_before_the_end():
+    codec = sp.Codec(sp.MODEL)
+    seen = []
+    commit = codec.lanes.commit
+    codec.lanes.commit = lambda lane, i, back, root, final, done: (commit(lane, i, back, root, final, done), seen.append(i - int(done.min())))
+    codec.lanes.forward(["theandthatwith" * 40] * 3, np.array([560] * 3))
+    assert max(seen) < 4 * codec.longest
+
+
 def test_streaming_gives_pieces_before_the_end():
     codec = sp.Codec(sp.MODEL)
     seen = []
@@ -98,7 +117,8 @@ def test_sentencepiece_on_odd_input(spark):
     assert got.columns == ["doc_id", "ids", "n_ids", "round_trip"] and got.count() == 9
     by = {r.doc_id: r for r in got.filter("doc_id is not null").collect()}
     assert by[2].ids is None and by[3].ids == [] and by[5].round_trip
-    texts = {r.doc_id: r.text for r in sp.decode(got).filter("doc_id is not null").collect()}
+    texts = {r.doc_id: r.text for r in sp.decode(got.withColumn("text", F.lit("clash"))).filter("doc_id is not null").collect()}
+    assert sp.decode(got.limit(0)).count() == 0
     assert texts[1].startswith("The cat") and texts[2] is None and texts[3] == ""
     assert sp.encode(nothing(spark)).count() == 0
 
@@ -419,24 +439,50 @@ def test_cuts_are_optimal():
 
 
 def test_packing_has_every_character_once(spark, docs):
+    c = sp.codec(sp.MODEL)
     texts = {r.doc_id: r.text for r in docs.collect()}
     windows = packing.pack(docs, window=100).orderBy("shard", "window").collect()
-    back = collections.defaultdict(str)
+    back, tokens = collections.defaultdict(str), 0
     for w in windows:
-        words = 0
         for d, a, b in zip(w.doc_ids, w.starts, w.ends):
             assert len(back[d]) == a
             back[d] += texts[d][a:b]
-            words += len(texts[d][a:b].split())
-        assert w.n_tokens == words <= 100 and w.padding == 100 - words
+        assert w.n_tokens <= 100 and w.padding == 100 - w.n_tokens
+        tokens += w.n_tokens
     assert dict(back) == {d: t for d, t in texts.items() if t}
+    assert [d for w in windows for d in w.doc_ids] == sorted(d for w in windows for d in w.doc_ids)
+    assert tokens == sum(sum(counts) for _, counts in packing.units_of(list(texts.values()), 100, c))
+
+
+def test_tokens_are_those_of_the_model():
+    c = sp.codec(sp.MODEL)
+    texts = ["One sentence. Another one!  And more\nlines", "", "  \n ", "word " * 30, "x" * 300, "日本語" * 20 + " end."]
+    for text, (ends, counts) in zip(texts, packing.units_of(texts, 10, c)):
+        assert ends == sorted(ends) and ends[-1:] == [len(text)][: len(ends)] and max(counts, default=0) <= 10
+        for a, b, n in zip([0, *ends], ends, counts):
+            if "word word" not in text and max(map(len, text.split()), default=0) < 30:
+                assert n == len(c.encode(text[a:b].rstrip()))
+    assert len(packing.units_of(["word " * 30], 10, c)[0][0]) == 3
+
+
+def test_padding_is_the_same_for_dense_and_sparse_ids(spark):
+    text = "some words in a sentence of ten or so here. " * 30
+    padding = []
+    for step in (1, 1_000_003):
+        df = spark.createDataFrame([(k * step, text) for k in range(40)], "doc_id long, text string").repartition(5)
+        got = packing.pack(df, shard_tokens=5000).collect()
+        padding.append((len(got), sum(w.padding for w in got)))
+        assert len({w.shard for w in got}) > 1
+    assert padding[0] == padding[1]
 
 
 def test_packing_on_odd_input(spark):
-    got = packing.pack(odd(spark))
-    assert sum(w.n_tokens for w in got.collect()) == sum(len((r.text or "").split()) for r in odd(spark).collect())
-    ids = [d for w in got.collect() for d in w.doc_ids]
-    assert ids.count(1) == 2 and None in ids and 2 not in ids and 3 not in ids and max(w.n_tokens for w in got.collect()) <= packing.WINDOW
+    got = packing.pack(odd(spark)).collect()
+    c = sp.codec(sp.MODEL)
+    texts = [r.text or "" for r in odd(spark).collect()]
+    assert sum(w.n_tokens for w in got) == sum(sum(n) for _, n in packing.units_of(texts, packing.WINDOW, c))
+    ids = [d for w in got for d in w.doc_ids]
+    assert ids.count(1) == 2 and ids[-1] is None and 2 not in ids and 3 not in ids and max(w.n_tokens for w in got) <= packing.WINDOW
     assert packing.pack(nothing(spark)).count() == 0
 
 

@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from newsloom.llm import jaccard, line_dedup, packing, pii, quality
+from newsloom.llm import jaccard, line_dedup, packing, pii, quality, sentencepiece_codec
 
 SMALL = "/root/testdata/sf0.001"
 COLUMNS = list(corpus_pipeline.COLUMNS)
@@ -71,13 +71,15 @@ def test_pipeline_equals_brute_force(spark, docs):
     for r in corpus_pipeline.run(spark, SMALL).collect():
         got[r.shard].append((r.window, list(zip(r.doc_ids, r.starts, r.ends)), r.n_tokens))
     want = collections.defaultdict(list)
-    shards = collections.defaultdict(list)
+    shards, total = collections.defaultdict(list), 0
+    units = dict(zip(sorted(texts), packing.units_of([texts[i] for i in sorted(texts)], packing.WINDOW, sentencepiece_codec.codec(packing.MODEL))))
     for i in sorted(texts):
-        shards[i // packing.SHARD_SPAN].append(i)
+        shards[total // packing.SHARD_TOKENS].append(i)
+        total += sum(units[i][1])
     for shard, ids in shards.items():
         counts, inside, spans = [], [], []
         for i in ids:
-            ends, c = packing.units_of(texts[i], packing.WINDOW)
+            ends, c = units[i]
             counts += c
             inside += [True] * (len(c) - 1) + [False]
             spans += [(i, a, b) for a, b in zip([0, *ends], ends)]
