@@ -14,11 +14,15 @@ Importance, from 0 (the same on all pages: navigation, notices) to 1 (different
 - both are combined upwards: (1 - DAMPING) own + DAMPING mean of the children, averaged over the
   element's pages. As each page's part is a sum over its elements with weights that depend on the
   way alone, leaves send their importance to their parents and every inner element sends its own
-  and its leaves', weighted, to its ancestors: one aggregation for all depths.
-
-Of each page, the branches of which each element has a composite importance below ``KEEP_AT`` are
-left out: an important element keeps what it stands in, not what stands beside it. What stays is
-the text, a line for each block.
+  and its leaves', weighted, to its ancestors: one aggregation for all depths. What would count for
+  less than ``LEAST`` is not sent.
+
+Of each page, the branches are left out in which nothing is worth keeping. A text counts by its own
+content and by where it stands: (1 - CONTEXT) its importance + CONTEXT the composite importance of
+the element around it, in which that element's presentation has its part. A branch goes if that is
+below ``KEEP_AT`` for all its texts: important content keeps what it stands in, not what stands
+beside it, and labels in a part of the page that differs from page to page are judged more mildly
+than the same words in a part that is always the same. What stays is the text, a line for each block.
 """
 
 from __future__ import annotations
@@ -32,9 +36,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, joined_side, materialise, row_key, small_batches
+from .common import bound_batches, discard, joined_side, materialise, row_key, small_batches
 
-DAMPING, KEEP_AT, DEEPEST = 0.9, 0.35, 100
+DAMPING, CONTEXT, KEEP_AT, LEAST = 0.7, 0.3, 0.35, 1e-6
+DEEPEST = 512  # as in the browsers whose parsers have such a limit: what is nested deeper becomes a sibling
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>?|<[!?][^>]*>?|<", re.S)
 _ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -148,25 +153,37 @@ def _hash(*parts: object) -> int:
     return xxhash.xxh3_64_intdigest("\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def walk(root: Node, host: str) -> Iterator[tuple[int, int | None, list[tuple[int, int]], Node]]:
-    """(key, style, above, node) for every element; style is None for leaves; above are (key,
-    number of children) of its ancestors, the nearest first. The root's key is that of the host."""
-    todo = [(root, _hash(host), [])]
+def walk(root: Node, host: str) -> Iterator[tuple[int, int | None, tuple | None, Node]]:
+    """(key, style, above, node) for every element; style is None for leaves; above is (key, number
+    of children, above) of the parent, None for the root. The root's key is that of the host."""
+    todo: list[tuple[Node, int, tuple | None]] = [(root, _hash(host), None)]
     while todo:
         node, key, above = todo.pop()
         k = len(node.children)
         style = _hash(*(c.label for c in node.children)) if k else None
         yield key, style, above, node
-        chain = [(key, k), *above]
+        here = (key, k, above)
         for place, child in enumerate(node.children):
-            todo.append((child, _hash(key, style, place, child.label), chain))
+            todo.append((child, _hash(key, style, place, child.label), here))
+
+
+def ancestors(above: tuple | None) -> tuple[list[int], list[int]]:
+    """The keys of the ancestors and their numbers of children, the nearest first, as far up as an
+    element counts."""
+    keys, sizes, weight = [], [], DAMPING
+    while above is not None and weight >= LEAST:
+        key, k, above = above
+        keys.append(key)
+        sizes.append(k)
+        weight *= DAMPING / k
+    return keys, sizes
 
 
 def content(node: Node) -> set[str]:
     return {" ".join(s.split()) for s in _SENTENCE.split(node.text or "") if s.strip()} | set(node.features)
 
 
-ROWS = "key long, style long, n int, ups array<long>, children array<int>, features array<int>, times array<int>, tie long, keys array<long>"
+ROWS = "key long, style long, n int, ups array<long>, children array<int>, features array<long>, times array<int>, tie long, keys array<long>"
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +193,7 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     their texts. Leaves go no further up than their parent, which keeps most rows short."""
     for batch in small_batches(batches, "html", 8 << 20):
         inner: dict[tuple[int, int], int] = {}
-        ways: dict[int, list[tuple[int, int]]] = {}
+        ways: dict[int, tuple | None] = {}
         leaves: dict[int, list] = {}
         pages = []
         for host, tie, page in zip(*(batch.column(c).to_pylist() for c in ("host", "tie", "html"))):
@@ -188,34 +205,37 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 leaf = leaves.get(key)
                 if leaf is None:
-                    leaf = leaves[key] = [0, above[:1], {}]
+                    leaf = leaves[key] = [0, above[:2] if above else None, {}]
                 leaf[0] += 1
                 for f in content(node):
-                    h = _hash(f) & 0x7FFFFFFF
+                    h = _hash(f)
                     leaf[2][h] = leaf[2].get(h, 0) + 1
                 if node.text is not None:
                     texts.append(key)
             pages.append((tie, texts))
-        told = {key: pair for pair in reversed(list(inner)) for key in pair[:1]}
-        rows = [(key, style, n, [a for a, _ in ways[key]] if told[key] == (key, style) else None, [k for _, k in ways[key]] if told[key] == (key, style) else None, None, None, None, None) for (key, style), n in inner.items()]
-        rows += [(key, None, n, [a for a, _ in above], [k for _, k in above], list(found), list(found.values()), None, None) for key, (n, above, found) in leaves.items()]
+        rows, told = [], set()
+        for (key, style), n in inner.items():
+            rows.append((key, style, n, *((None, None) if key in told else ancestors(ways[key])), None, None, None, None))
+            told.add(key)
+        rows += [(key, None, n, above and above[:1], above and above[1:], list(found), list(found.values()), None, None) for key, (n, above, found) in leaves.items()]
         rows += [(None, None, None, None, None, None, None, tie, texts) for tie, texts in pages]
         long, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
-        kinds = (pa.int64(), pa.int64(), pa.int32(), long, ints, ints, ints, pa.int64(), long)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), long, ints, long, ints, pa.int64(), long)
         names = [x.split()[0] for x in ROWS.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
 
 
 def importances(rows: DataFrame) -> DataFrame:
-    """(key, leaf, importance) of every element of the style trees, from the counts in ``rows``.
-    Leaves are shuffled once, by key, and everything about them is added up there."""
+    """(key, parent, importance) of every element of the style trees, from the counts in ``rows``;
+    parent is that of a leaf, null for inner elements. Leaves are shuffled once, by key, and
+    everything about them is added up there."""
     m = F.col("m")
     leaves = rows.filter("key is not null and style is null").select("key", "n", "ups", "children", "features", "times").repartition("key")
-    sizes = leaves.groupBy("key").agg(F.sum("n").alias("m"), F.min(F.element_at("ups", 1)).alias("parent"), F.min(F.element_at("children", 1)).alias("k"))
+    sizes = leaves.groupBy("key").agg(F.sum("n").alias("m"), F.min(F.get("ups", F.lit(0))).alias("parent"), F.min(F.get("children", F.lit(0))).alias("k"))
     pieces = leaves.select("key", F.explode(F.arrays_zip("features", "times")).alias("f")).groupBy("key", "f.features").agg(F.log(F.sum("f.times")).alias("x"))
     mean = pieces.groupBy("key").agg(F.avg("x").alias("h"))
     own = F.when(F.col("h").isNull(), 0.0).when(m == 1, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("h") / F.log(m)))
-    leaf = sizes.join(mean, "key", "left").select("key", "parent", "k", "m", own.alias("importance"))
+    leaf = materialise(sizes.join(mean, "key", "left").select("key", "parent", "k", "m", own.alias("importance")), "leaves")
     below = leaf.groupBy(F.col("parent").alias("key")).agg(F.sum(m * F.col("importance") / F.col("k")).alias("below"))
 
     inner = rows.filter("style is not null").groupBy("key", "style").agg(F.sum("n").alias("n"), F.first("ups", ignorenulls=True).alias("ups"), F.first("children", ignorenulls=True).alias("children"))
@@ -230,28 +250,38 @@ def importances(rows: DataFrame) -> DataFrame:
     )
     got = sent.select("key", "m", "x", F.explode(steps).alias("u")).select(F.col("u.up").alias("up"), (F.col("x") * F.col("u.w")).alias("x"), F.when(F.col("u.up") == F.col("key"), m).alias("m"))
     branch = got.groupBy(F.col("up").alias("key")).agg((F.sum("x") / F.max("m")).alias("importance"))
-    return leaf.select("key", F.lit(True).alias("leaf"), "importance").union(branch.select("key", F.lit(False), "importance"))
+    return leaf.select("key", "parent", "importance").union(branch.select("key", F.lit(None).cast("long"), "importance"))
+
+
+def unimportant(every: DataFrame, keep_at: float) -> DataFrame:
+    """(key) of the leaves that count for less than ``keep_at`` by their content and by where they
+    stand; ``every`` is a table as ``importances`` returns it."""
+    around = every.filter("parent is null").select(F.col("key").alias("parent"), F.col("importance").alias("around"))
+    standing = (1 - CONTEXT) * F.col("importance") + CONTEXT * F.col("around")
+    return every.filter("parent is not null").join(around, "parent").filter(standing < F.lit(keep_at)).select("key").distinct()
 
 
 def render(page: str, host: str, noisy: set[int]) -> str:
-    """The text of a page without the branches that are ``noisy`` throughout: these are the ones of
-    whose texts each is, so what is noisy is left out at the texts."""
+    """The text of a page without its branches of which all texts are ``noisy``: with the texts
+    nothing of such a branch is left."""
     out: list[str] = []
-
-    def lay(node: Node, key: int) -> None:
+    todo: list[tuple[Node, int] | str] = [(parse(page), _hash(host))]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        node, key = x
         block = node.tag not in _INLINE and node.tag != "#text"
         if block or node.tag == "br":
             out.append("\n")
         if node.text is not None and key not in noisy:
             out.append(node.text)
+        if block:
+            todo.append("\n")
         if node.children:
             style = _hash(*(c.label for c in node.children))
-            for place, child in enumerate(node.children):
-                lay(child, _hash(key, style, place, child.label))
-        if block:
-            out.append("\n")
-
-    lay(parse(page), _hash(host))
+            todo += [(child, _hash(key, style, place, child.label)) for place, child in enumerate(node.children)][::-1]
     lines = (" ".join(x.split()) for x in "".join(re.sub(r"\s+", " ", x) if x != "\n" else x for x in out).split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -268,19 +298,21 @@ def host_of(url):
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", keep_at: float = KEEP_AT) -> DataFrame:
-    """A row for every row of ``pages``: page_id, host, text and n_left_out, how many texts of the
-    page are of low importance.
+    """A row for every row of ``pages``: page_id, host, text and n_left_out, how many different
+    places of the page have a text that is left out.
 
     A null page has a null text, an empty one ''. URLs without a host, and null ones, share the
     host ''. A host with a single page keeps all of it. Repeated rows come back as often as they
     occur and count each as a page of its host. An empty table gives an empty result. Other
-    columns are not looked at and don't come back. Elements nested more than ``DEEPEST`` deep count
-    as children of the last one that isn't."""
+    columns are not looked at and don't come back. A text that counts for ``keep_at`` exactly stays."""
     bound_batches(pages)
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), row_key(id_col, url_col, html_col).alias("tie"), F.col(html_col).alias("html"))
     elements = materialise(rows.filter("html is not null").select("host", "tie", "html").mapInArrow(_elements, ROWS), "elements")
-    noisy = materialise(importances(elements).filter(F.col("leaf") & (F.col("importance") < keep_at)).select("key"), "noisy")
+    every = materialise(importances(elements), "importances")
+    noisy = materialise(unimportant(every, keep_at), "noisy")
     of_page = elements.filter("tie is not null").select(F.col("tie").alias("t"), F.explode(F.array_distinct("keys")).alias("key"))
     left_out = materialise(of_page.join(joined_side(noisy), "key").groupBy("t").agg(F.collect_set("key").alias("noisy")), "leftout")
+    for done in (elements, every, noisy):
+        discard(done)
     joined = rows.join(joined_side(left_out), F.col("tie") == F.col("t"), "left").select("page_id", "host", "html", "noisy")
     return joined.mapInArrow(_extract, "page_id long, host string, text string, n_left_out int")

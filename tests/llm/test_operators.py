@@ -302,41 +302,89 @@ def test_bloom_filter_has_no_false_negatives(spark):
 # --- 5 -----------------------------------------------------------------------------------------
 
 
-def brute_importance(pages):
-    """Importances by walking merged trees."""
-    trees = [html_extract.parse(p) for p in pages]
+def brute_tree(pages):
+    """(composite importance of all pages' root, for each page its texts with what they count for),
+    by walking merged trees."""
+    kept = collections.defaultdict(list)
 
-    def merge(nodes):
+    def merge(nodes, owners):
         m = len(nodes)
         log = lambda x: np.log(x) / np.log(m)
         leaves = [n for n in nodes if not n.children]
         by_style = collections.defaultdict(list)
-        for n in nodes:
-            by_style[tuple(c.label for c in n.children) if n.children else None].append(n)
-        inner = any(n.children for n in nodes)
-        if not inner:
+        for n, o in zip(nodes, owners):
+            by_style[tuple(c.label for c in n.children) if n.children else None].append((n, o))
+        if len(leaves) == m:
             counts = collections.Counter(f for n in leaves for f in html_extract.content(n))
-            if m == 1:
-                return 1.0 if counts else 0.0
-            return max(0.0, 1 - np.mean([log(c) for c in counts.values()])) if counts else 0.0
+            value = (1.0 if m == 1 else max(0.0, 1 - np.mean([log(c) for c in counts.values()]))) if counts else 0.0
+            return value, [(o, n.text, value) for n, o in zip(nodes, owners) if n.text is not None]
         own = 1.0 if m == 1 else -sum(len(g) / m * log(len(g) / m) for g in by_style.values())
-        below = 0.0
+        below, texts = 0.0, []
         for style, group in by_style.items():
-            if style:
-                below += len(group) / m * np.mean([merge([n.children[k] for n in group]) for k in range(len(style))])
-        return (1 - html_extract.DAMPING) * own + html_extract.DAMPING * below
+            children = [merge([n.children[k] for n, _ in group], [o for _, o in group]) for k in range(len(style or ()))]
+            below += len(group) / m * np.mean([v for v, _ in children]) if children else 0.0
+            texts += [t for _, found in children for t in found]
+        value = (1 - html_extract.DAMPING) * own + html_extract.DAMPING * below
+        for o, text, leaf in texts:
+            kept[o].append((text, (1 - html_extract.CONTEXT) * leaf + html_extract.CONTEXT * value))
+        return value, []
 
-    return merge(trees)
+    return merge([html_extract.parse(p) for p in pages], range(len(pages)))[0], kept
 
 
 SITE = ["<html><body><div class=nav><a href='/a'>A</a><a href='/b'>B</a></div><p>text number {0}. More of {0}.</p>{1}<div id=foot>All rights reserved.</div></body></html>"]
 
 
+def random_site(rnd, n):
+    """Pages of one site: a fixed frame, parts that vary in content and parts that vary in layout."""
+    pages = []
+    for k in range(n):
+        parts = ["<div class=nav><a href='/a'>Home</a><a href='/b'>About</a></div>"]
+        parts.append("<div class=list>" + "".join(f"<p>item {rnd.randint(0, 4)}</p>" for _ in range(3)) + "</div>")
+        parts.append("<div class=main>" + "".join(rnd.choice(["<p>topic {0}</p>", "<h3>topic {0}</h3>", "<ul><li>topic {0}</li></ul>"]).format(rnd.randint(0, 4)) for _ in range(rnd.randint(1, 4))) + f"<p>number {k}. More of {k}.</p></div>")
+        if rnd.random() < 0.4:
+            parts.append("<section><h2>Extra</h2><p>extra</p></section>")
+        pages.append("<html><body>" + "".join(parts) + "<div id=foot>All rights reserved.</div></body></html>")
+    return pages
+
+
 def test_style_tree_equals_merged_trees(spark):
     pages = [SITE[0].format(k, "<p>extra %d</p>" % k if k % 3 == 0 else "") for k in range(9)]
-    rows = spark.createDataFrame([("h", k, p) for k, p in enumerate(pages)], "host string, tie long, html string").repartition(3)
-    got = html_extract.importances(rows.mapInArrow(html_extract._elements, html_extract.ROWS)).filter(F.col("key") == html_extract._hash("h")).first().importance
-    assert got == pytest.approx(brute_importance(pages))
+    for pages in (pages, random_site(random.Random(3), 14)):
+        rows = spark.createDataFrame([("h", k, p) for k, p in enumerate(pages)], "host string, tie long, html string").repartition(3)
+        got = html_extract.importances(rows.mapInArrow(html_extract._elements, html_extract.ROWS)).filter(F.col("key") == html_extract._hash("h")).first().importance
+        assert got == pytest.approx(brute_tree(pages)[0], abs=1e-4)
+
+
+def test_extraction_equals_merged_trees(spark):
+    pages = random_site(random.Random(5), 20)
+    kept = brute_tree(pages)[1]
+    df = spark.createDataFrame([(k, f"http://h.org/{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r for r in html_extract.extract(df).collect()}
+    for k in range(20):
+        want = sorted(text for text, worth in kept[k] if worth >= html_extract.KEEP_AT)
+        assert sorted(got[k].text.split("\n")) == want and got[k].n_left_out == len(kept[k]) - len(want)
+    assert 0 < sum(r.n_left_out for r in got.values()) < sum(map(len, kept.values()))
+
+
+def test_presentation_alone_decides(spark):
+    # the same texts, once in a part that always looks the same and once in one that never does
+    def site(host, layout):
+        return [(f"http://{host}/{k}", f"<body><div class=part><section>{layout(k)}</section><p>price {k % 6}</p></div></body>") for k in range(12)]
+
+    rows = site("same.org", lambda k: "<u></u>") + site("varied.org", lambda k: f"<u class=c{k % 6}></u>")
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string")
+    by = collections.defaultdict(set)
+    for r in html_extract.extract(df, keep_at=0.59).collect():
+        by[r.host].add(r.text != "")
+    value = lambda pages: {round(w, 6) for texts in brute_tree([p for _, p in pages])[1].values() for _, w in texts}
+    assert max(value(rows[:12])) < 0.59 < min(value(rows[12:])) and by == {"same.org": {False}, "varied.org": {True}}
+
+
+def test_deep_pages(spark):
+    page = "<div>" * 3000 + "deep" + "</div>" * 3000
+    df = spark.createDataFrame([(1, "http://d/", page), (2, "http://d/", page.replace("deep", "other"))], "page_id long, url string, html string")
+    assert [r.text for r in html_extract.extract(df).orderBy("page_id").collect()] == ["deep", "other"]
 
 
 def test_extraction_leaves_out_what_all_pages_share(spark):
