@@ -48,7 +48,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.anonymise(table(spark, sf_dir, "documents"))
+    return pii.anonymise(table(spark, sf_dir, "documents"), pii.session_key(spark))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

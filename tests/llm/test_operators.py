@@ -15,6 +15,7 @@ from newsloom.llm import sentencepiece_codec as sp
 from newsloom.llm.common import row_key
 
 SMALL = "/root/testdata/sf0.001"
+KEY = b"a key for tests"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -634,7 +635,7 @@ def test_line_dedup_on_odd_input(spark):
 def test_surrogates_by_hand(spark):
     text = "Mr. John Smith (john.smith@corp.example.com, 10.1.2.3) met Anna Jones; John paid with 4111 1111 1111 1111. token = \"0123456789abcdef0123456789abcdef\" SMITH"
     rows = spark.createDataFrame([(1, text), (2, "Mrs. Anna Jones again, card 4111-1111-1111-1111.")], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in pii.anonymise(rows).collect()}
+    got = {r.doc_id: r.text for r in pii.anonymise(rows, KEY).collect()}
     for secret in ("John", "Smith", "SMITH", "Anna", "Jones", "corp", "10.1.2.3", "4111", "0123456789abcdef"):
         assert secret not in got[1] and secret not in got[2]
     found = {k: v for k, v in zip("first last".split(), got[1].split("Mr. ")[1].split()[:2])}
@@ -645,17 +646,98 @@ def test_surrogates_by_hand(spark):
     assert got[2].split("Mrs. ")[1].split()[0] in got[1]
 
 
-def test_surrogates_are_distinct(spark):
+def brute_surrogates(entities, key):
+    """The operator's rules over a set of entities, one at a time."""
+    family = lambda kind: "name" if kind.startswith(("first.", "last.")) else kind
+    real = {(family(k), c) for k, c in entities}
+    first = {e: pii.surrogate(*e, 0, key) for e in entities}
+    owner = {}
+    for e in sorted(entities, reverse=True):
+        owner[family(e[0]), first[e]] = e
+    left = [e for e in sorted(entities) if (family(e[0]), first[e]) in real or owner[family(e[0]), first[e]] != e]
+    used, out = real | {(family(k), new) for (k, _), new in first.items()}, dict(first)
+    for attempt in range(1, pii.ROUNDS + 1):
+        if attempt == pii.ROUNDS:
+            left = [e for e in left if family(e[0]) == "name"]
+        fresh, still = {}, []
+        for e in left:
+            form = (family(e[0]), pii.surrogate(*e, attempt, key))
+            if form in used or form in fresh:
+                still.append(e)
+            else:
+                fresh[form] = e
+        out |= {e: form[1] for form, e in fresh.items()}
+        used |= set(fresh)
+        left = still
+    return out
+
+
+def test_surrogates_equal_brute_force_and_are_distinct(spark):
+    rnd = random.Random(12)
     rows = [("ssn", f"{k:09d}") for k in range(300)] + [("last.latin", f"name{k}") for k in range(3000)] + [("ip", f"10.0.{k // 250}.{k % 250}") for k in range(900)]
-    got = pii.surrogates(spark.createDataFrame(rows, "kind string, canonical string")).collect()
-    new = [(r.kind.split(".")[0], r.new) for r in got]
-    assert len(got) == len(rows) and len(set(new)) == len(new)
-    assert not {r.new for r in got} & {c for _, c in rows}
+    rows += [("email", f"{a}@{d}.com") for a in "abcdefghijklmnopqrstuvwxyz" for d in "xy"]  # all that there are
+    rows += [("ip", f"192.168.{a}.{b}") for a in range(0, 256, 5) for b in range(256)] + [("card", f"4{k}") for k in range(90)]
+    rows += [("first.f.latin", x) for x in ("baba", "bebia", "zazaette")] + [("first.m.greek", "νίκος"), ("last.armenian", "պետրոսյան"), ("phone", "+4930123456"), ("phone", "0201234567")]
+    rows += [("secret", "".join(rnd.choice("ab1") for _ in range(8))) for _ in range(500)] + [("iban", "DE89370400440532013000"), ("ip", "2001:db8:0:0:0:0:0:1")]
+    rows = sorted(set(rows))
+    got = {(r.kind, r.canonical): r.new for r in pii.surrogates(spark.createDataFrame(rows, "kind string, canonical string"), KEY).collect()}
+    assert got == brute_surrogates(set(rows), KEY)
+    assert len({(k.split(".")[0], new) for (k, _), new in got.items()}) == len(rows)
+    mild = [e for e in rows if e[0] not in ("email", "card") and not e[1].startswith("192.168")]
+    assert not {(k, got[k, c]) for k, c in mild} & set(rows)
+    assert pii._iban_valid(got["iban", "DE89370400440532013000"]) and got["ip", "2001:db8:0:0:0:0:0:1"].startswith("2001:")
+    assert all(got[e].startswith("192.168.") for e in rows if e[1].startswith("192.168."))
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 10, 26, 97, 1000])
+def test_permutations(size):
+    assert sorted(pii.permuted(k, size, KEY, "x") for k in range(size)) == list(range(size))
+    assert size < 20 or [pii.permuted(k, size, KEY, "x") for k in range(size)] != [pii.permuted(k, size, b"other", "x") for k in range(size)]
+
+
+def test_formats_are_kept():
+    for c in "aZ5йΩé中٣ßÉ-ſ":
+        assert c in pii._pool(c) and len({pii._pool(x) for x in pii._pool(c)}) == 1 and len(set(pii._pool(c))) == len(pii._pool(c))
+    assert len({pii.surrogate("card", f"4{k:02d}", 0, KEY) for k in range(100)}) == 100
+    valid = [x for x in (f"4{k:03d}" for k in range(1000)) if pii._luhn(x) == 0]
+    assert sorted(pii.surrogate("card", x, 0, KEY) for x in valid) == valid
+    assert pii._network(pii.ipaddress.IPv4Address(pii.surrogate("ip", "8.8.8.8", 0, KEY))) is None
+
+
+@pytest.mark.parametrize(
+    "text, entities",
+    [
+        ("Priya Sharma met Wei Zhang and Kwame Mensah.", ["Priya", "Sharma", "Wei", "Zhang", "Kwame", "Mensah"]),
+        ("Zorblax Quennell said that Tib Warrick and Ulo Pendergast left. Quennell laughed.", None),
+        ("Olivia Brown", ["Olivia", "Brown"]),
+        ("call 020 7946 0958", ["020 7946 0958"]),
+        ("version 10.4.3.2 of the Apache License, New York", []),
+        ("from 10.4.3.2 on", ["10.4.3.2"]),
+        ("a@b.c@d.e, x..y@z, <q.r@s-t.org>", ["a@b.c", "q.r@s-t.org"]),
+        ("token token=abcdefghij secret: abc12345x", ["abc12345x"]),
+    ],
+)
+def test_what_is_detected(text, entities):
+    found = [text[a:b] for a, b, _, _ in pii.detect(text)]
+    if entities is None:
+        assert found[:2] == ["Zorblax", "Quennell"] and found.count("Quennell") == 2
+    else:
+        assert found == entities
+
+
+def test_detection_is_linear():
+    import time
+
+    mention = "Mr. John Smith wrote. "
+    for text in ("x" * 10**6 + "@" + "y" * 10**6, mention * 40_000, "token=" * 150_000 + " 1", "a@" * 300_000, "Dr " * 300_000, "1 " * 400_000):
+        began = time.time()
+        pii.detect(text)
+        assert time.time() - began < 20
 
 
 def test_nothing_of_the_documents_personal_data_is_left(spark, docs):
     before = {r.doc_id: r.text for r in docs.collect()}
-    after = {r.doc_id: r.text for r in pii.anonymise(docs).collect()}
+    after = {r.doc_id: r.text for r in pii.anonymise(docs, KEY).collect()}
     entities = {before[i][a:b] for i, t in before.items() for a, b, _, _ in pii.detect(t)}
     assert entities and not any(e in t for t in after.values() for e in entities)
     for i, t in before.items():
@@ -664,11 +746,11 @@ def test_nothing_of_the_documents_personal_data_is_left(spark, docs):
 
 
 def test_pii_on_odd_input(spark):
-    got = pii.anonymise(odd(spark))
+    got = pii.anonymise(odd(spark), KEY)
     assert got.columns == odd(spark).columns and got.count() == 9
     texts = [r.text for r in got.filter("doc_id is null and text is not null").collect()]
     assert "a@b" not in texts[0] and "555-1234" not in texts[0]
-    assert got.filter("text is null").count() == 2 and pii.anonymise(nothing(spark)).count() == 0
+    assert got.filter("text is null").count() == 2 and pii.anonymise(nothing(spark), KEY).count() == 0
     cyrillic = pii.detect("г-н Иван Петров и Мария Иванова")
     assert {k for _, _, k, _ in cyrillic} == {"first.m.cyrillic", "first.f.cyrillic", "last.cyrillic"}
 

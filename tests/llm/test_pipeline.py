@@ -10,6 +10,8 @@ import __spark_entry__
 import corpus_pipeline
 from newsloom.llm import jaccard, line_dedup, packing, pii, quality, sentencepiece_codec
 
+from .test_operators import brute_surrogates
+
 SMALL = "/root/testdata/sf0.001"
 COLUMNS = list(corpus_pipeline.COLUMNS)
 
@@ -19,7 +21,7 @@ def docs(spark):
     return spark.read.parquet(f"{SMALL}/documents.parquet")
 
 
-def brute(rows):
+def brute(rows, key):
     """(doc_id -> text) after the first four stages."""
     codes = {i: quality.encode_votes(quality.votes_of(t)) for i, t in rows}
     counts = collections.Counter(codes.values())
@@ -58,15 +60,12 @@ def brute(rows):
             x, y = sorted((top(a), top(b)))
             label[y] = x
     left = [(i, t) for i, t in left if top(i) == i]
-    out = {}
-    for i, t in left:
-        found = {(k, c): pii.surrogate(k, c) for _, _, k, c in pii.detect(t)}
-        out[i] = pii.replace(t, found)
-    return out
+    found = brute_surrogates({(k, c) for _, t in left for _, _, k, c in pii.detect(t)}, key)
+    return {i: pii.replace(t, found) for i, t in left}
 
 
 def test_pipeline_equals_brute_force(spark, docs):
-    texts = brute([(r.doc_id, r.text) for r in docs.collect()])
+    texts = brute([(r.doc_id, r.text) for r in docs.collect()], pii.session_key(spark))
     got = collections.defaultdict(list)
     for r in corpus_pipeline.run(spark, SMALL).collect():
         got[r.shard].append((r.window, list(zip(r.doc_ids, r.starts, r.ends)), r.n_tokens))
