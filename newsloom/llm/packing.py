@@ -49,31 +49,41 @@ def units_of(texts: list[str], window: int, c: Codec) -> list[tuple[list[int], l
         if text and (not found or found[-1] < len(text)):
             found.append(len(text))
     words, ids = c.ids_of_words([text[a:b].rstrip() for text, found in zip(texts, stops) for a, b in zip([0, *found], found)])
-    size = lambda w: len(ids[w]) // 4
+    get = ids.__getitem__
+    tokens = [len(b"".join(map(get, some))) // 4 for some in words]
     out, at = [], 0
-    for text, found in zip(texts, stops):
-        ends: list[int] = []
-        counts: list[int] = []
-        for start, stop in zip([0, *found], found):
-            n = sum(map(len, map(ids.__getitem__, words[at]))) // 4
-            if n > window:
-                n, place = 0, start - c.prefix
-                for word in words[at]:
-                    parts = [(len(word), size(word))] if size(word) <= window else [(len(p), len(c._ids([p]))) for p in c.stream(word)]
-                    for length, tokens in parts:
-                        if n + tokens > window:
-                            ends.append(place)
-                            counts.append(n)
-                            n = 0
-                        place += length
-                        n += tokens
-            ends.append(stop)
-            counts.append(n)
-            at += 1
-        out.append((ends, counts))
+    for found in stops:
+        counts = tokens[at : at + len(found)]
+        if counts and max(counts) > window:
+            out.append(_shortened(found, counts, words[at : at + len(found)], ids, window, c))
+        else:
+            out.append((found, counts))
+        at += len(found)
     return out
 
 
+def _shortened(stops: list[int], tokens: list[int], words: list[list[str]], ids: dict[str, bytes], window: int, c: Codec) -> tuple[list[int], list[int]]:
+    """Ends and counts where sentences of more than ``window`` tokens are cut."""
+    ends: list[int] = []
+    counts: list[int] = []
+    for start, stop, n, some in zip([0, *stops], stops, tokens, words):
+        if n > window:
+            n, place = 0, start - c.prefix
+            for word in some:
+                size = len(ids[word]) // 4
+                parts = [(len(word), size)] if size <= window else [(len(p), len(c._ids([p]))) for p in c.stream(word)]
+                for length, more in parts:
+                    if n + more > window:
+                        ends.append(place)
+                        counts.append(n)
+                        n = 0
+                    place += length
+                    n += more
+        ends.append(stop)
+        counts.append(n)
+    return ends, counts
+
+
 def cuts(counts: list[int], inside: list[bool], window: int, truncation: float) -> list[int]:
     """The best cuts of a sequence of units: the indices after which a window ends, the last
     included. ``inside[i]``: a cut after unit i is inside a document. Of equally good cuts the

@@ -18,6 +18,7 @@ size.
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 from collections.abc import Iterator
@@ -111,6 +112,7 @@ class Codec:
         self.lengths = sorted({len(p) for p in self.ids}, reverse=True)
         self.low = min(self.scores.values(), default=0.0) - 10.0
         if self.kind == MERGES:
+            self.histories: dict[str, tuple[list[float], list[str], list[str]]] = {}
             self.stable = {p for p in self.ids if self.merged(p) == [p]}
             self.pairs = _Pairs(self, 1 << 19)
             self.lanes = _Lanes(self)
@@ -133,6 +135,49 @@ class Codec:
                 return parts
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
 
+    def history(self, text: str) -> tuple[list[float], list[str], list[str]]:
+        """The scores of the merges of a text of a few characters, one after the other, and its
+        first and last part before and after each."""
+        found = self.histories.get(text)
+        if found is None:
+            parts, marks = list(text), []
+            firsts, lasts = [parts[0]], [parts[-1]]
+            while True:
+                best, where = -math.inf, -1
+                for k in range(len(parts) - 1):
+                    s = self.scores.get(parts[k] + parts[k + 1], -math.inf)
+                    if s > best:
+                        best, where = s, k
+                marks.append(best)
+                if where < 0:
+                    break
+                parts[where : where + 2] = [parts[where] + parts[where + 1]]
+                firsts.append(parts[0])
+                lasts.append(parts[-1])
+            found = marks, firsts, lasts
+            if len(text) > 1:
+                self.histories[text] = found  # one for each stable piece at most
+        return found
+
+    def fits(self, a: str, b: str) -> bool:
+        """Whether merging the characters of two stable pieces gives these two again: their merges
+        run side by side, the better first, and none goes across."""
+        marks, _, lasts = self.history(a)
+        others, firsts, _ = self.history(b)
+        i = j = 0
+        across = self.scores.get(lasts[0] + firsts[0], -math.inf)
+        while True:
+            x, y = marks[i], others[j]
+            if across > x and across >= y:
+                return False
+            if x == y == -math.inf:
+                return True
+            if x >= y:
+                i += 1
+            else:
+                j += 1
+            across = self.scores.get(lasts[i] + firsts[j], -math.inf)
+
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}i", *ids)
@@ -214,6 +259,8 @@ class Codec:
 
     def words(self, text: str) -> list[str]:
         """The text cut where no piece goes across."""
+        if self.prefix and self.whole_words and text and text[0] != " " and "  " not in text and SPACE not in text:
+            return (SPACE + text.replace(" ", " " + SPACE)).split(" ")
         text = ((SPACE if self.prefix else "") + text).replace(" ", SPACE) if text else ""
         return _WORDS.findall(text) if self.whole_words else [text]
 
@@ -329,7 +376,7 @@ class _Lanes:
                 unknown = np.unique(keys)
             for key in unknown.tolist():
                 a, b = self.piece(key >> 21), self.piece(key & (1 << 21) - 1)
-                self.pairs.put(key, int(self.codec.merged(a + b) == [a, b]))
+                self.pairs.put(key, int(self.codec.fits(a, b)))
             out = self.pairs.get(keys)
         return out == 1
 
@@ -425,7 +472,7 @@ class _Pairs(dict):
     def __missing__(self, pair: tuple[str, str]) -> bool:
         if len(self) >= self.most:
             self.clear()
-        self[pair] = found = self.codec.merged(pair[0] + pair[1]) == [*pair]
+        self[pair] = found = self.codec.fits(*pair)
         return found
 
 
