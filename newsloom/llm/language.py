@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches, small_batches
 
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 16, 8
-TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS, RATE, BATCH, SEED = 4000, 3, 12, 4e-3, 64, 7
+TRAIN_DOCS, STEPS, EPOCHS, RATE, BATCH, SEED = 4000, 2200, 12, 4e-3, 64, 7
 
 
 def windows_of(data: bytes, window: int = WINDOW) -> np.ndarray:
@@ -82,8 +82,8 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def train(windows: np.ndarray, labels: np.ndarray, languages: list[str]) -> Network:
-    """Adam on the cross-entropy, each language drawn equally often; the same rows give the same
-    network."""
+    """Adam on the cross-entropy, each language drawn equally often, ``EPOCHS`` times the windows or
+    ``STEPS`` batches; the same rows give the same network."""
     rng = np.random.RandomState(SEED)
     k, hidden = len(languages), len(WIDTHS) * FILTERS
     weights = [rng.randn(256, DIM) * 0.5, *(rng.randn(w, DIM, FILTERS) / np.sqrt(w * DIM) for w in WIDTHS), np.zeros(hidden), rng.randn(hidden, k) / np.sqrt(hidden), np.zeros(k)]
@@ -92,7 +92,7 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str]) -> Netw
     by = [np.flatnonzero(labels == c) for c in range(k)]
     per = max(1, BATCH // k)
     step = 0
-    for _ in range(EPOCHS * max(1, len(windows) // BATCH)):
+    for _ in range(min(STEPS, EPOCHS * max(1, len(windows) // BATCH))):
         pick = np.concatenate([rng.choice(b, per) for b in by if len(b)])
         x, y = windows[pick], labels[pick]
         vectors, filters, (bias, out, out_bias) = weights[0], weights[1:-3], weights[-3:]
@@ -131,14 +131,18 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str]) -> Netw
 
 
 def sample(docs: DataFrame, text_col: str, label_col: str, most: int = TRAIN_DOCS) -> list[tuple[str, bytes]]:
-    """About ``most`` labelled texts, chosen by a hash of their content: one scan, no sort."""
-    labelled = docs.filter(F.col(label_col).isNotNull() & (F.length(text_col) > 0))
-    n = labelled.count()
-    chance = F.pmod(F.xxhash64(text_col, label_col), F.lit(1 << 40)) < F.lit(min(1 << 40, int((1 << 40) * most / max(1, n))))
-    parts = F.lit(WINDOW * 4)
-    # of a long text, a stretch that starts at a place chosen by the hash
-    start = 1 + F.pmod(F.xxhash64(F.lit(1), F.col(text_col)), F.greatest(F.lit(1), F.length(text_col) - parts + 1)).cast("int")
-    rows = labelled.filter(chance).select(F.col(label_col).cast("string"), F.substring(F.col(text_col), start, parts)).collect()
+    """About ``most`` labelled texts, whole and as many of each language as there are, up to its
+    share; chosen by a hash of their content: two scans, no sort."""
+    labelled = docs.filter(F.col(label_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
+    counts = {r[0]: r[1] for r in labelled.groupBy("label").count().collect()}  # a number for each language
+    if not counts:
+        return []
+    share, left = {}, most
+    for k, (label, n) in enumerate(sorted(counts.items(), key=lambda x: x[1])):  # what small ones leave goes to the others
+        share[label] = min(n, left // (len(counts) - k))
+        left -= share[label]
+    chance = F.create_map(*[F.lit(x) for label, n in share.items() for x in (label, min(1 << 40, (1 << 40) * max(1, n) // counts[label]))])
+    rows = labelled.filter(F.pmod(F.xxhash64("text", "label"), F.lit(1 << 40)) < F.element_at(chance, F.col("label"))).collect()
     return sorted((a, b.encode("utf-8", "replace")) for a, b in rows)
 
 
@@ -146,12 +150,9 @@ def fit(rows: list[tuple[str, bytes]]) -> Network | None:
     languages = sorted({a for a, _ in rows})
     if not languages:
         return None
-    parts, labels = [], []
-    for a, b in rows:
-        w = windows_of(b)[:TRAIN_WINDOWS]
-        parts.append(w)
-        labels += [languages.index(a)] * len(w)
-    return train(np.concatenate(parts), np.array(labels), languages)
+    parts = [windows_of(b) for _, b in rows]
+    labels = np.repeat([languages.index(a) for a, _ in rows], [len(w) for w in parts])
+    return train(np.concatenate(parts), labels, languages)
 
 
 def _apply(shared):
@@ -185,7 +186,7 @@ def _apply(shared):
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", train_docs: int = TRAIN_DOCS) -> DataFrame:
     """A row for every row of ``docs``: doc_id, language, confidence (the mean probability) and
     n_windows. The network is trained on about ``train_docs`` of the rows whose ``label_col`` is
-    not null, and then applied to all rows.
+    not null, in equal numbers by language as far as there are, and then applied to all rows.
 
     Null and empty texts have a null language and no windows, and so has everything where no row
     is labelled. Equal probabilities: the first language in alphabetical order. Repeated rows all

@@ -41,12 +41,15 @@ def _vote(value: float, low: bool, good: bool) -> int:
 
 
 def votes_of(text: str) -> tuple[int, ...]:
-    """The ten votes on one text, in the order of ``RULES``. All of the text is looked at."""
+    """The ten votes on one text, in the order of ``RULES``. All of the text is looked at. The rules
+    on length and function words, which count words between spaces and words of four languages,
+    vote low only on texts that are written in Latin letters for the most part."""
     words = text.split()
     n = len(words)
     if n == 0:
         return (0, 0, 0, 0, -1, -1, 0, 0, -1, 0)
     counts = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), minlength=256)
+    foreign = counts[128:].sum() * 2 > counts.sum()
     symbols = counts[_SYMBOL].sum() / n
     bangs = (counts[33] + counts[63]) / n
     upper, lower = counts[_UPPER].sum(), counts[_LOWER].sum()
@@ -63,11 +66,11 @@ def votes_of(text: str) -> tuple[int, ...]:
         _vote(bangs, bangs > 0.15, bangs < 0.03),
         _vote(upper_share, upper + lower >= 20 and upper_share > 0.3, upper_share < 0.12),
         _vote(repeats, repeats > 0.2, repeats < 0.05),
-        _vote(n, n < 4, n >= 20),
+        _vote(n, n < 4 and not foreign, n >= 20),
         _vote(ended, ended < 0.3, ended > 0.8),
         _vote(same, len(lines) > 4 and same > 0.3, len(lines) > 1 and same < 0.05),
         _vote(variety, n >= 20 and variety < 0.35, n >= 20 and variety > 0.7),
-        _vote(known, known < 0.03 and n >= 20, known > 0.15),
+        _vote(known, known < 0.03 and n >= 20 and not foreign, known > 0.15),
         _vote(cells, cells > 0.2, cells < 0.02),
     )
 
@@ -101,8 +104,9 @@ def vote_code(text: Column) -> Column:
 
 def fit(codes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray]:
     """Expectation-maximisation over vote combinations. Returns the share of good documents and,
-    by class (low, good), rule and vote, the probability of the vote (1 for abstentions). Starts from the majority of
-    the votes, so the second class is the good one; each probability is smoothed by one vote."""
+    by class (low, good), rule and vote, the probability of the vote (1 for abstentions). Starts from the low
+    votes - the more of them, the likelier a document is low, and with none it is good - so that the
+    second class is the good one; each probability is smoothed by one vote."""
     if len(codes) == 0:
         return 0.5, np.ones((2, len(RULES), 3))
     votes = np.array([decode_votes(int(c)) for c in codes])

@@ -21,9 +21,10 @@ _TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid|sessionid)"
 #: (pattern, replacement) one after the other; the same text works in Spark and in DuckDB.
 RULES = (
     (r"#.*$", ""),
-    (r"^[a-z]+://", ""),
+    (r"^(?:[a-z][a-z0-9+.-]*:)?//", ""),
     (r"^(?:www\.|m\.)", ""),
-    (r":(?:80|443)(/|$)", r"\1"),
+    (r"^([^/?#:]*):(?:80|443)([/?#]|$)", r"\1\2"),
+    (r"(?:/\.)+(/|\?|$)", r"\1"),
     (rf"([?&]){_TRACKING}=[^&]*", r"\1"),
     (r"&+", "&"),
     (r"\?&", "?"),
@@ -35,13 +36,15 @@ RULES = (
 
 
 def canonical(url: Column) -> Column:
-    """Scheme, www. or m., standard port, fragment, tracking parameters, index pages, .html and
-    closing slashes go; scheme and host become lower case. Null stays null."""
-    head = F.regexp_extract(F.trim(url), r"^([A-Za-z]+://)?([^/?#]*)", 0)
+    """Scheme, www. or m., standard port, fragment, tracking parameters, index pages, .html, "/."
+    and closing slashes go; scheme and host become lower case, parameters come in order. Percent
+    signs and "/.." stay as they are. Null stays null."""
+    head = F.regexp_extract(F.trim(url), r"^([A-Za-z][A-Za-z0-9+.-]*:)?(//)?([^/?#]*)", 0)
     out = F.concat(F.lower(head), F.substr(F.trim(url), F.length(head) + 1))
     for pattern, to in RULES:
         out = F.regexp_replace(out, pattern, to.replace("\\", "$"))
-    return out
+    query = F.regexp_extract(out, r"\?(.*)$", 1)
+    return F.when(F.contains(query, F.lit("&")), F.concat(F.regexp_extract(out, r"^[^?]*", 0), F.lit("?"), F.array_join(F.array_sort(F.split(query, "&")), "&"))).otherwise(out)
 
 
 def _mask(h: Column, word: int) -> Column:
@@ -89,8 +92,9 @@ def match(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col:
 
 def canonical_sql(url: str) -> str:
     """``canonical`` for DuckDB."""
-    head = f"regexp_extract(trim({url}), '^([A-Za-z]+://)?([^/?#]*)', 0)"
+    head = f"regexp_extract(trim({url}), '^([A-Za-z][A-Za-z0-9+.-]*:)?(//)?([^/?#]*)', 0)"
     out = f"(lower({head}) || substr(trim({url}), length({head}) + 1))"
     for pattern, to in RULES:
         out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
-    return out
+    query = f"regexp_extract({out}, '\\?(.*)$', 1)"
+    return f"case when contains({query}, '&') then regexp_extract({out}, '^[^?]*', 0) || '?' || array_to_string(list_sort(string_split({query}, '&')), '&') else {out} end"

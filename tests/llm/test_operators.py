@@ -225,6 +225,69 @@ def test_sniffing_by_hand():
     assert media.sniff(b"%PDF-1.4\nx\nstartxref\n9\n%%EOF\n")[0] == "application/pdf"
 
 
+def flac(frames, total):
+    """A stream of frames with the same content."""
+    def frame(k):
+        head = bytes([0xFF, 0xF8, 0x29, 0x08, k])
+        crc = 0
+        for c in head:
+            crc = media._CRC8[crc ^ c]
+        body, crc = head + bytes([crc]) + b"some coded samples" * 3, 0
+        for c in body:
+            crc = (crc << 8 & 0xFFFF) ^ media._CRC16[crc >> 8 ^ c]
+        return body + crc.to_bytes(2, "big")
+
+    info = bytes([16, 0, 16, 0, 0, 0, 0, 0, 0, 0]) + (44100 << 44 | 15 << 36 | total).to_bytes(8, "big") + bytes(16)
+    return b"fLaC\x80\0\0\x22" + info + b"".join(map(frame, range(frames)))
+
+
+def tiff(order):
+    import struct
+
+    entries = [(256, 3, 1, 4), (257, 3, 1, 2), (273, 4, 1, 100), (279, 4, 1, 8)]
+    pack = lambda kind, v: struct.pack(order + ("HH" if kind == 3 else "I"), *((v, 0) if kind == 3 else (v,)))
+    out = (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 8) + struct.pack(order + "H", 4)
+    out += b"".join(struct.pack(order + "HHI", t, k, n) + pack(k, v) for t, k, n, v in entries) + struct.pack(order + "I", 0)
+    return out.ljust(100, b"\0") + b"pictures"
+
+
+def test_more_formats_and_what_follows_them():
+    mp4 = b"\0\0\0\x10ftypisom\0\0\0\0" + b"\0\0\0\x0cmdatdata"
+    png = media_column.png(b"abc")
+    assert media.sniff(mp4 + b"and some text after it")[:2] == ("video/mp4", 28)
+    for total in (576, 0):
+        sound = flac(1, total)
+        assert media.sniff(sound + png) == ("audio/flac", len(sound), [(len(sound), len(png), "image/png", "raw")])
+    sound = flac(4, 4 * 576)
+    assert media.items_of(flac(3, 0) + png)[-1][2] == "image/png" and media.sniff(sound[:-1])[0] == "application/octet-stream"
+    mp3 = (b"\xff\xfb\x90\x00".ljust(417, b"\0")) * 5
+    assert media.sniff(mp3 + b"x")[:2] == ("audio/mpeg", 417 * 5) and media.sniff(mp3[: 417 * 3])[0] == "application/octet-stream"
+    tagged = b"ID3\4\0\0\0\0\0\5title" + mp3[:417]
+    assert media.sniff(tagged)[:2] == ("audio/mpeg", len(tagged))
+    for order in "<>":
+        assert media.sniff(tiff(order) + b"--")[:2] == ("image/tiff", 108)
+    webm = b"\x1aE\xdf\xa3\x87\x42\x82\x84webm" + b"\x18\x53\x80\x67\x85abcde"
+    assert media.sniff(webm + b"--")[:2] == ("video/webm", len(webm))
+    import io, zipfile  # noqa: E401
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a.png", png)
+    kind, length, inside = media.sniff(out.getvalue())
+    assert (kind, length) == ("application/zip", len(out.getvalue())) and [x[1:] for x in inside] == [(len(png), "image/png", "raw")]
+    text = b"<p>data:application/x;base64," + base64.b64encode(b"??" + png + GIF) + b"</p>"
+    assert [x[1:] for x in media.sniff(text)[2]] == [(len(GIF), "image/gif", "base64"), (len(png), "image/png", "base64")]
+
+
+def test_many_headers_take_linear_time():
+    import time
+
+    for magic in (b"PK\3\4", b"%PDF-1.4", b"\x1f\x8b\x08\0", b"fLaC", b"\xff\xfb\x90\0"):
+        began = time.time()
+        media.items_of(magic * 100_000 + b"PK\x05\x06" * 1000)
+        assert time.time() - began < 20
+
+
 def test_every_way_of_wrapping_is_found():
     html = b"<!DOCTYPE html><html><body>" + bytes(range(32, 127)) * 9 + b"</body></html>"
     kinds = ["text/html", "image/png", "image/bmp", "application/gzip", "application/zip", "audio/wav", "text/html", "application/octet-stream"]
@@ -253,6 +316,7 @@ def test_media_on_odd_input(spark):
     assert got[1].corrected and got[2].media_type is None and got[3].media_type == "application/x-empty" and not got[None].corrected
     assert media.inspect(rows.limit(0), "id", F.col("content"), F.col("declared")).count() == 0
     assert media.carve(rows, "id", F.col("content")).filter("id = 1").first()["item"] == bytearray(GIF)
+    assert media.carve(rows.limit(0), "id", F.col("content")).count() == 0 and media.carve(rows.withColumn("item", F.lit(1)), "id", F.col("content")).count() == 2
 
 
 # --- 4 -----------------------------------------------------------------------------------------
@@ -266,6 +330,8 @@ def test_media_on_odd_input(spark):
         ("http://example.com/a/index.html", "example.com/a"),
         ("http://example.com/a.html?ref=x", "example.com/a"),
         ("http://example.com", "example.com"),
+        ("http://a.com/x:80/y", "a.com/x:80/y"),
+        ("//a.com:443/./x?b=2&a=1", "a.com/x?a=1&b=2"),
         ("", ""),
         (None, None),
     ],
@@ -437,6 +503,46 @@ def test_quality_agrees_with_labels(spark):
     assert sum(r.keep for r in good) / len(good) > 0.98 and sum(r.keep for r in bad) / len(bad) < 0.1
 
 
+def test_fit_equals_plain_expectation_maximisation():
+    rnd = random.Random(21)
+    counts = collections.Counter()
+    for _ in range(3000):
+        good = rnd.random() < 0.7
+        counts[tuple(0 if rnd.random() < 0.3 else (1 if rnd.random() < (0.9 if good else 0.3) else -1) for _ in quality.RULES)] += 1
+    codes = [quality.encode_votes(v) for v in counts]
+    prior, table = quality.fit(np.array(codes), np.array(list(counts.values())))
+    p = {v: 1 / (1 + np.exp(-(3.5 - 3.0 * v.count(-1)))) for v in counts}
+    for _ in range(200):
+        total = sum(counts.values())
+        share = (sum(n * p[v] for v, n in counts.items()) + 1) / (total + 2)
+        yes = [[1.0, 1.0] for _ in quality.RULES], [[1.0, 1.0] for _ in quality.RULES]
+        for v, n in counts.items():
+            for r, x in enumerate(v):
+                if x:
+                    yes[0][r][x > 0] += n * (1 - p[v])
+                    yes[1][r][x > 0] += n * p[v]
+        new = {}
+        for v in counts:
+            both = [1 - share, share]
+            for c in (0, 1):
+                for r, x in enumerate(v):
+                    if x:
+                        both[c] *= yes[c][r][x > 0] / sum(yes[c][r])
+            new[v] = both[1] / sum(both)
+        done = max(abs(new[v] - p[v]) for v in p) < 1e-9
+        p = new
+        if done:
+            break
+    assert prior == pytest.approx(share, abs=1e-6)
+    assert all(table[c, r, 0] == pytest.approx(yes[c][r][0] / sum(yes[c][r]), abs=1e-6) for c in (0, 1) for r in range(len(quality.RULES)))
+
+
+def test_other_scripts_are_not_voted_down():
+    for text in ("Это обычный русский текст о погоде, который никто не хотел бы потерять. " * 5, "这是一个关于天气的普通中文文本。没有人想失去它。" * 3):
+        assert -1 not in (quality.votes_of(text)[4], quality.votes_of(text)[8])
+    assert quality.votes_of("zzz qqq")[4] == -1
+
+
 def test_posterior_expression_equals_bayes(spark):
     codes = np.array([0, 5, 3**10 - 1, 29524])
     prior, table = quality.fit(codes, np.array([5, 1, 40, 3]))
@@ -785,6 +891,14 @@ def test_language_on_held_out_text(spark):
     assert len(got) == 800 and sum(r.language == r.truth for r in got) / 800 > 0.97
 
 
+def test_a_rare_language_is_learnt(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rare = docs.limit(3).select("doc_id", F.lit("слово и дело " * 40).alias("text"), F.lit("xx").alias("lang"))
+    rows = language.sample(docs.union(rare), "text", "lang", 400)
+    by = collections.Counter(a for a, _ in rows)
+    assert by["xx"] == 3 and max(by.values()) < 2 * min(n for a, n in by.items() if a != "xx") and max(len(b) for _, b in rows) > 1500
+
+
 def test_language_on_odd_input(spark):
     got = language.identify(odd(spark))
     assert got.columns == ["doc_id", "language", "confidence", "n_windows"] and got.count() == 9
