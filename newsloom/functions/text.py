@@ -38,7 +38,7 @@ def quote_uri(uri: Column) -> Column:
 
 def escape_literal(text: Column) -> Column:
     """Escapes of a quoted literal in a triple-pattern query: \\ first, then quotes and controls."""
-    for char, code in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r"), ("\b", "\\b"), ("\f", "\\f"), ('"', '\\"'), ("'", "\\'")):
+    for char, code in (("\\", "\\\\"), ("'", "\\'"), ('"', '\\"'), *((c, repr(c)[1:-1]) for c in "\n\r\t"), ("\f", "\\f"), ("\b", "\\b")):
         text = F.replace(text, F.lit(char), F.lit(code))
     return text
 
@@ -166,6 +166,11 @@ def auth_id(provider: Column, provider_id: Column) -> Column:
     return F.xxhash64(F.concat(provider, provider_id))
 
 
+def split_scopes(scopes: Column) -> Column:
+    """The scopes of a grant, kept as one string; none where there is nothing but space."""
+    return F.filter(F.split(F.coalesce(scopes, F.lit("")), r"\s+"), lambda x: x != "")
+
+
 def allowed_file(name: Column, extensions: list[str]) -> Column:
     return F.contains(name, F.lit(".")) & F.substring_index(name, ".", -1).isin(extensions)
 

@@ -25,6 +25,29 @@ def event_documents(events: DataFrame, members: DataFrame, concepts: DataFrame)
     return rows.select("event_id", F.to_json(body).alias("json"))
 
 
+def story_documents(stories: DataFrame, links: DataFrame) -> DataFrame:
+    """(story_id, json) with the ids of the story's events. stories: (story_id, title, image,
+    updated_at), links: (story_id, event_id)."""
+    events = links.groupBy("story_id").agg(F.sort_array(F.collect_set("event_id")).alias("events"))
+    body = F.struct(F.col("story_id").alias("id"), "title", "image", iso_datetime(F.col("updated_at")).alias("updated_at"), "events", F.concat(F.lit("/stories/"), F.col("story_id").cast("string")).alias("self"))
+    return stories.join(events, "story_id", "left").select("story_id", F.to_json(body).alias("json"))
+
+
+def concept_documents(concepts: DataFrame, holders: DataFrame) -> DataFrame:
+    """(slug, json) of concepts (slug, name), those without a name left out, with the events they
+    are in, (slug, event_id, relatedness), the most related first."""
+    order = F.array_sort(F.collect_list(F.struct((-F.col("relatedness")).alias("order"), "event_id", "relatedness")))
+    events = holders.groupBy("slug").agg(F.transform(order, lambda x: F.struct(x["event_id"].alias("id"), x["relatedness"].alias("relatedness"))).alias("events"))
+    body = F.struct("slug", "name", "events", F.concat(F.lit("/concepts/"), F.col("slug")).alias("self"))
+    return concepts.filter("name is not null").join(events, "slug", "left").select("slug", F.to_json(body).alias("json"))
+
+
+def named_documents(rows: DataFrame, kind: str) -> DataFrame:
+    """(id, json) of what has an id and a name alone: authors, sources and users."""
+    body = F.struct("id", "name", F.concat(F.lit(f"/{kind}/"), F.col("id").cast("string")).alias("self"))
+    return rows.select("id", F.to_json(body).alias("json"))
+
+
 def preview(events: DataFrame, members: DataFrame, n: int = 10) -> DataFrame:
     """The first n events by id with their members."""
     return events.orderBy("event_id").limit(n).select("event_id").join(members, "event_id")

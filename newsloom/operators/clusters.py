@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine
@@ -96,11 +96,38 @@ def apply_triage(labels: DataFrame, existing: DataFrame, new: DataFrame, now: st
 
 
 def representative(members: DataFrame, cluster: str, id_col: str, vector: str) -> DataFrame:
-    """(cluster, id) of the member nearest to the cluster's centroid; ties by the least id."""
-    each = members.select(cluster, id_col, F.posexplode(vector).alias("k", "x"))
-    centroid = each.groupBy(cluster, "k").agg(F.avg(F.col("x").cast("double")).alias("c"))
-    distance = each.join(centroid, [cluster, "k"]).groupBy(cluster, id_col).agg(F.round(F.sum((F.col("x") - F.col("c")) ** 2), 9).alias("d"))
-    return distance.groupBy(cluster).agg(F.min_by(id_col, F.struct("d", id_col)).alias(id_col))
+    """(cluster, id) of the member nearest to the cluster's centroid; ties by the least id. Vectors
+    have one length; centroids are sums by element, so only those of a cluster are spread out, and
+    the members stay where they are while the centroids, one row a cluster, come to them."""
+    width = F.size(vector)
+    n = members.agg(F.max(width)).first()[0] or 0
+    sums = members.groupBy(cluster).agg(*[F.avg(F.get(F.col(vector), F.lit(k)).cast("double")).alias(f"c{k}") for k in range(n)])
+    centroid = sums.select(cluster, F.array(*[f"c{k}" for k in range(n)]).alias("centroid"))
+    apart = F.aggregate(F.zip_with(vector, "centroid", lambda x, c: (x.cast("double") - c) * (x.cast("double") - c)), F.lit(0.0), lambda a, x: a + x)
+    each = members.join(centroid, cluster).select(cluster, id_col, F.round(apart, 9).alias("d"))
+    return each.groupBy(cluster).agg(F.min_by(id_col, F.struct("d", id_col)).alias(id_col))
+
+
+def event_labels(members: DataFrame, nearest: DataFrame) -> DataFrame:
+    """(event_id, title, image): those of an event's representative article. members: (event_id, id,
+    title, image), nearest: (event_id, id)."""
+    return members.join(nearest, ["event_id", "id"]).groupBy("event_id").agg(F.first("title").alias("title"), F.first("image").alias("image"))
+
+
+def story_labels(stories: DataFrame, events: DataFrame) -> DataFrame:
+    """(story_id, title, image, updated_at): those of a story's latest event, ties by the least id.
+    stories: (story_id, event_id), events: (event_id, title, image, updated_at)."""
+    newest = F.max_by(F.struct("title", "image", "updated_at"), F.struct(F.col("updated_at"), -F.col("event_id")))
+    return stories.join(events, "event_id").groupBy("story_id").agg(newest.alias("x")).select("story_id", "x.*")
+
+
+def save_hierarchy(labels: DataFrame, path: str) -> None:
+    """The clusters (id, cluster) of a level, to go on from in a later run."""
+    labels.write.mode("overwrite").parquet(path)
+
+
+def load_hierarchy(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
 def recluster(vectors: DataFrame, within: str, event_least: float, story_least: float, min_articles: int = 1, min_events: int = 1) -> tuple[DataFrame, DataFrame]:

@@ -39,6 +39,12 @@ def top(scores: DataFrame, key: str, k: int) -> DataFrame:
     return top_per_group(scores, key, [F.col("score").desc(), F.col("slug")], k)
 
 
+def holders(scores: DataFrame, key: str) -> DataFrame:
+    """(slug, key, relatedness): what a concept is mentioned in - articles, events or stories - with
+    its score there."""
+    return scores.select("slug", key, F.col("score").alias("relatedness"))
+
+
 def related(edges: DataFrame) -> DataFrame:
     """(slug, other, relatedness): both directions of the directed edges (from_slug, slug, score)."""
     to = edges.select(F.col("from_slug").alias("slug"), F.col("slug").alias("other"), F.col("score").alias("relatedness"))

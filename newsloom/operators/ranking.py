@@ -72,6 +72,18 @@ def latest_of_group(rows: DataFrame, group: str, value: str, at: str, tie: str)
     return rows.groupBy(group).agg(best.alias(value))
 
 
+def active(clusters: DataFrame) -> DataFrame:
+    """Clusters that aren't frozen; one that says nothing is active."""
+    return clusters.filter(F.coalesce("active", F.lit(True)))
+
+
+def images(members: DataFrame, group: str, image: str = "image", order: str = "id") -> DataFrame:
+    """(group, images): the images that members of a group have, in the order of the members; a
+    group of which none has one gets the empty list."""
+    found = F.array_sort(F.collect_list(F.when(F.col(image).isNotNull(), F.struct(order, image))))
+    return members.groupBy(group).agg(F.transform(found, lambda x: x[image]).alias("images"))
+
+
 def by_date(rows: DataFrame, group: str, at: str, item: str) -> DataFrame:
     """(group, day, items): the items of a group by calendar day."""
     return rows.groupBy(group, F.to_date(at).alias("day")).agg(F.sort_array(F.collect_list(item)).alias("items"))

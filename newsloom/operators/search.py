@@ -10,16 +10,23 @@ from pyspark.sql import functions as F
 from .ranking import page
 
 _WORDS = r"([\p{L}\p{N}]+)"
+#: English words that a query is searched without
+STOP_WORDS = frozenset(
+    "a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing don down during each few for from further had has have having he her "
+    "here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours ourselves out over own s same she should so some such t than "
+    "that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why will with you your yours yourself yourselves".split()
+)
 
 
 def search(tables: dict[str, DataFrame], query: str, types: list[str] | None = None) -> DataFrame:
     """(type, id, title, summary, rank) of rows of ``tables`` (type -> id, title, summary) that have
-    all words of ``query`` in the title or all in the summary.
+    all words of ``query``, stop words left out, in the title or all in the summary. A query of stop
+    words alone finds nothing.
 
     The rank looks at the summary alone: 0.1 for each occurrence of a single word; of several, 0.1
     times the covers, the shortest stretches with all words, each by the inverse of what it holds
     beyond them; 0 where only the title matches and null without a summary."""
-    terms = list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
+    terms = [w for w in dict.fromkeys(re.findall(r"[^\W_]+", query.lower())) if w not in STOP_WORDS]
     found = None
     for kind, rows in tables.items():
         if types and kind not in types:
@@ -37,7 +44,9 @@ def search(tables: dict[str, DataFrame], query: str, types: list[str] | None = N
         return out
 
     rows = rows.filter(all_in("t") | all_in("w"))
-    if len(terms) == 1:
+    if not terms:
+        rank = F.lit(0.0)
+    elif len(terms) == 1:
         rank = F.round(F.size(F.filter("w", lambda x: x == terms[0])) * 0.1, 6)
     else:
         rank = F.when(all_in("w"), F.round(_covers(terms) * 0.1, 6)).otherwise(F.lit(0.0))

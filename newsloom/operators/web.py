@@ -55,23 +55,25 @@ def is_feedish_link(url: Column) -> Column:
 
 def discover(pages: DataFrame, known: DataFrame) -> DataFrame:
     """(url, feed): the feeds of each page (url, html), from the first source that has any: itself,
-    <link> tags, feed-like links on the same site, other feedish ones there, usual places, all links.
-    known: (url, html) of what can be fetched; a candidate of unknown content counts where its name
-    alone decides."""
+    <link> tags, feed-like links on the same site, other feedish ones there, usual places, feed-like
+    and then other feedish links anywhere. known: (url, html) of what can be fetched; only what is
+    there and is a feed counts."""
     full = pages.select(full_url(F.col("url")).alias("url"), "html").withColumn("links", anchors(F.col("html")))
-    feeds = known.filter(is_feed(F.col("html"))).select(F.col("url").alias("feed"))
+    feeds = known.filter(is_feed(F.col("html"))).select(full_url(F.col("url")).alias("feed")).distinct()
     root = F.regexp_replace("url", r"(?<![/:])/[^/]*$", "")
-
-    def of(priority: int, links: Column, rows: DataFrame = full) -> DataFrame:
-        return rows.select("url", F.lit(priority).alias("priority"), F.explode(links).alias("feed"))
-
     local = F.filter("links", lambda link: F.startswith(link, F.col("url")))
-    parts = of(0, F.array("url")).join(feeds, "feed", "left_semi").select("url", "priority", "feed")
-    parts = parts.union(of(1, feed_links(F.col("url"), F.col("html"))).join(feeds, "feed", "left_semi").select("url", "priority", "feed"))
-    parts = parts.union(of(2, F.filter(local, is_feed_link))).union(of(3, F.filter(local, is_feedish_link)))
-    parts = parts.union(of(4, F.array(*[F.concat(root, F.lit("/" + g)) for g in GUESSES])).join(feeds, "feed", "left_semi").select("url", "priority", "feed"))
-    parts = parts.union(of(5, F.filter("links", lambda link: is_feed_link(link) | is_feedish_link(link))))
-    best = parts.withColumn("best", F.min("priority").over(Window.partitionBy("url"))).filter(F.col("priority") == F.col("best"))
+    sources = [
+        F.array("url"),
+        feed_links(F.col("url"), F.col("html")),
+        F.filter(local, is_feed_link),
+        F.filter(local, is_feedish_link),
+        F.array(*[F.concat(root, F.lit("/" + g)) for g in GUESSES]),
+        F.filter("links", is_feed_link),
+        F.filter("links", is_feedish_link),
+    ]
+    every = F.concat(*[F.transform(links, lambda link, k=k: F.struct(F.lit(k).alias("priority"), absolute(F.col("url"), link).alias("feed"))) for k, links in enumerate(sources)])
+    found = full.select("url", F.explode(every).alias("c")).select("url", "c.priority", "c.feed").join(feeds, "feed", "left_semi")
+    best = found.withColumn("best", F.min("priority").over(Window.partitionBy("url"))).filter(F.col("priority") == F.col("best"))
     return best.select("url", "feed").distinct()
 
 

@@ -211,9 +211,13 @@ def _(v):
     return clusters.apply_triage(clusters.triage(old, new), states, new, "2024-01-20 00:00:00")[0]
 
 
-@query("representative_article")
+@query(
+    "representative_article",
+    "with x as (select label::bigint as event_id, vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as k from embeddings), c as (select event_id, k, avg(x) as c from x group by 1, 2), "
+    "d as (select event_id, vec_id, round(sum((x - c) ** 2), 9) as d from x join c using (event_id, k) group by 1, 2) select event_id, arg_min(vec_id, (d, vec_id)) as vec_id from d group by 1",
+)
 def _(v):
-    return clusters.representative(v.raw("embeddings").select(F.col("label").alias("event_id"), "vec_id", "embedding"), "event_id", "vec_id", "embedding")
+    return clusters.representative(v.raw("embeddings").select(F.col("label").cast("long").alias("event_id"), "vec_id", "embedding"), "event_id", "vec_id", "embedding")
 
 
 _COS = "list_dot_product(x.embedding::double[], y.embedding::double[]) / sqrt(list_dot_product(x.embedding::double[], x.embedding::double[]) * list_dot_product(y.embedding::double[], y.embedding::double[]))"
@@ -225,7 +229,10 @@ def _(v):
     return clusters.similar_pairs(e, 0.1, "label").select("a", "b", (F.round("similarity", 5) + F.lit(0.0)).alias("similarity"))
 
 
-@query("cluster_components")
+_COMPONENTS = f"with recursive e as (select x.vec_id as a, y.vec_id as b from embeddings x join embeddings y on x.label = y.label and x.vec_id <> y.vec_id where {_COS} >= 0.2), reach as (select vec_id as id, vec_id as m from embeddings union select r.id, e.b from reach r join e on r.m = e.a) select id, min(m) as cluster from reach group by id"
+
+
+@query("cluster_components", _COMPONENTS)
 def _(v):
     e = v.raw("embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return clusters.components(clusters.similar_pairs(e, 0.2, "label").select("a", "b"), e.select("id"))
@@ -346,7 +353,10 @@ def _(v):
     return api.preview(v.event, v.event_members, 3).select("event_id", "id", "title")
 
 
-@query("article_documents")
+_ISO = "regexp_replace(strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f'), '\\.000000$', '')"
+
+
+@query("article_documents", f"select id, to_json({{'id': id, 'title': title, 'source': source, 'url': ext_url, 'created_at': {_ISO}, 'self': '/articles/' || id}})::varchar as json from article", "article")
 def _(v):
     return api.article_documents(v.article)
 
@@ -362,10 +372,15 @@ def _(v):
     return clusters.recluster(e, "label", 0.3, 0.2)[1]
 
 
-@query("natural_dates", "select id, case when created_at::date = date '2024-01-01' then 'today' else 'earlier' end as day from article", "article")
+@query(
+    "natural_dates",
+    "select id, case when d = 0 then 'today' when d = 1 then 'yesterday' when d > 365 then strftime(t, '%b %d %Y') else strftime(t, '%b %d') end as day "
+    "from (select id, t, datediff('day', t, timestamp '2024-01-02') as d from (select id, created_at - to_days((id % 500)::int) as t from article))",
+    "article",
+)
 def _(v):
-    shown = T.natural_date(F.col("created_at"), F.lit("2024-01-01").cast("timestamp_ntz"))
-    return v.article.select("id", F.when(shown == "today", shown).otherwise(F.lit("earlier")).alias("day"))
+    rows = v.article.select("id", F.expr("created_at - make_dt_interval(id % 500)").alias("at"))
+    return rows.select("id", T.natural_date(F.col("at"), F.lit("2024-01-02").cast("timestamp_ntz")).alias("day"))
 
 
 @query("auth_ids")
@@ -378,6 +393,58 @@ def _(v):
     return v.raw("events").select("event_id", T.json_count(F.col("props"), "$.k").alias("n"))
 
 
+@query("active_events", "select event_id from event where event_id % 3 <> 0", "event")
+def _(v):
+    return ranking.active(v.event.withColumn("active", F.when(F.col("event_id") % 3 == 0, F.lit(False)))).select("event_id")
+
+
+_IMAGED = "select *, case when id % 3 > 0 then ext_url || '/' || id || '.png' end as image from event_members"
+
+
+def _imaged(v: Views) -> DataFrame:
+    return v.event_members.withColumn("image", F.when(F.col("id") % 3 > 0, F.concat("ext_url", F.lit("/"), F.col("id").cast("string"), F.lit(".png"))))
+
+
+@query("event_images", f"select event_id, coalesce(string_agg(image, ',' order by id), '') as images from ({_IMAGED}) group by event_id", "event_members")
+def _(v):
+    return ranking.images(_imaged(v), "event_id").select("event_id", joined("images").alias("images"))
+
+
+@query("concept_events", f"select slug, event_id, round(score, 9) + 0.0 as relatedness from ({_EVENT_SCORES})", "events_articles", "article_mention", "commonness")
+def _(v):
+    return concepts.holders(_event_scores(v), "event_id").select("slug", "event_id", (F.round("relatedness", 9) + F.lit(0.0)).alias("relatedness"))
+
+
+@query("concept_articles", f"select slug, article_id, {R6.format('score')} as relatedness from ({_ARTICLE_SCORES})", "article_mention")
+def _(v):
+    return concepts.holders(concepts.article_scores(v.article_mention), "article_id").select("slug", "article_id", r6("relatedness").alias("relatedness"))
+
+
+def _labelled_events(v: Views) -> DataFrame:
+    members = _imaged(v)
+    nearest = members.groupBy("event_id").agg(F.min("id").alias("id"))  # stands for the representatives
+    return clusters.event_labels(members, nearest).join(v.event.select("event_id", "updated_at"), "event_id")
+
+
+_LABELLED = f"select event_id, arg_min(title, id) as title, list_first(list(image order by id)) as image, max(created_at) as updated_at from ({_IMAGED}) group by event_id"
+_STORY_LABELS = f"select story_id, x.title as title, x.image as image, x.updated_at as updated_at from (select story_id, arg_max({{'title': title, 'image': image, 'updated_at': updated_at}}, (updated_at, -event_id)) as x from stories_events join ({_LABELLED}) using (event_id) group by story_id)"
+
+
+@query("event_labels", f"select event_id, title, image, updated_at from ({_LABELLED})", "event_members")
+def _(v):
+    return _labelled_events(v).select("event_id", "title", "image", "updated_at")
+
+
+@query("story_labels", _STORY_LABELS, "stories_events", "event_members")
+def _(v):
+    return clusters.story_labels(v.stories_events, _labelled_events(v))
+
+
+@query("source_documents", "select id, to_json({'id': id, 'name': name, 'self': '/sources/' || id})::varchar as json from (select r_regionkey as id, r_name as name from region)")
+def _(v):
+    return api.named_documents(v.raw("region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")), "sources")
+
+
 # --- text --------------------------------------------------------------------------------------
 
 
@@ -458,11 +525,12 @@ def _(v):
     return v.event_members.groupBy("event_id").agg(F.array_join(F.transform(pairs, lambda p: p["title"]), " ").alias("text"))
 
 
-@query("highlight", "select id, replace(title, ' the ', ' <a href=\"/concepts/the\">the</a> ') as title from article where not contains(title, ' the the ')", "article")
+_LINKED = "regexp_replace({0}, ' {1}', ' <a href=\"/concepts/{1}\">{1}</a>', 'g')"
+
+
+@query("highlight", f"select id, {_LINKED.format(_LINKED.format('title', 'then'), 'the')} as title from article", "article")
 def _(v):
-    return v.article.filter(~F.contains("title", F.lit(" the the "))).select("id", T.highlight(F.col("title"), F.array(F.lit("the "))).alias("title")).select(
-        "id", F.replace(F.replace("title", F.lit('/concepts/the "'), F.lit('/concepts/the"')), F.lit("the </a>"), F.lit("the</a> ")).alias("title")
-    )
+    return v.article.select("id", T.highlight(F.col("title"), F.array(F.lit("the"), F.lit("then"))).alias("title"))
 
 
 @query("format_bytes", "select doc_id, case when n_chars < 1024 then printf('%.1f bytes', n_chars::double) else printf('%.1f KB', n_chars / 1024.0::double) end as size from documents where n_chars < 1000000")
@@ -485,10 +553,17 @@ def _(v):
     return v.article.select("id", (T.hot_score(F.col("score"), F.col("created_at")) + F.lit(0.0)).alias("hot"))
 
 
-@query("flatten_bindings", "select event_id, json_extract_string(props, '$.k') as k, event_type from events where false")
+@query("flatten_bindings", "select event_id, json_extract_string(props, '$.k') as k, event_type as kind from events")
+def _(v):
+    bound = F.struct(*[F.struct(F.lit("literal").alias("type"), x.alias("value")).alias(n) for n, x in (("k", F.get_json_object("props", "$.k")), ("kind", F.col("event_type")))])
+    rows = v.raw("events").select("event_id", T.flatten_bindings(F.to_json(bound)).alias("m"))
+    return rows.select("event_id", F.try_element_at("m", F.lit("k")).alias("k"), F.try_element_at("m", F.lit("kind")).alias("kind"))
+
+
+@query("split_scopes", "select event_id, array_to_string(list_filter(string_split(event_type || '  ' || user_id || ' ', ' '), lambda x: x <> ''), ',') as scopes from events")
 def _(v):
-    rows = v.raw("events").filter("false").select("event_id", T.flatten_bindings(F.col("props")).alias("m"), "event_type")
-    return rows.select("event_id", F.try_element_at("m", F.lit("k")).alias("k"), "event_type")
+    scopes = F.concat(F.col("event_type"), F.lit("  "), F.col("user_id").cast("string"), F.lit(" "))
+    return v.raw("events").select("event_id", joined(T.split_scopes(scopes)).alias("scopes"))
 
 
 # --- search ------------------------------------------------------------------------------------
@@ -508,28 +583,27 @@ def _has(column: str, *terms: str) -> str:
     return " and ".join(f"list_contains({_WORD_LIST.format(column)}, '{t}')" for t in terms)
 
 
-@query("search_match", f"select type, id from ({_TABLES}) where ({_has('title', 'is', 'the')}) or ({_has('summary', 'is', 'the')})", "article")
+@query("search_match", f"select type, id from ({_TABLES}) where ({_has('title', 'license', 'version')}) or ({_has('summary', 'license', 'version')})", "article")
 def _(v):
-    return search.search(_tables(v), "the is").select("type", "id")
+    return search.search(_tables(v), "the license of a version").select("type", "id")
 
 
-@query(
-    "search_rank",
-    f"select type, id, round(len(list_filter({_WORD_LIST.format('summary')}, lambda w: w = 'ement')) * 0.1, 6)::double as rank from ({_TABLES}) where ({_has('title', 'ement')}) or ({_has('summary', 'ement')})".replace("'ement'", "'being'").replace("ement", "being"),
-    "article",
-)
+_RANKED = f"select type, id, round(len(list_filter({_WORD_LIST.format('summary')}, lambda w: w = 'disgusting')) * 0.1, 6)::double as rank from ({_TABLES}) where ({_has('title', 'disgusting')}) or ({_has('summary', 'disgusting')})"
+
+
+@query("search_rank", _RANKED, "article")
 def _(v):
-    return search.search(_tables(v), "being").select("type", "id", "rank")
+    return search.search(_tables(v), "disgusting").select("type", "id", "rank")
 
 
-@query("search_count", f"select count(*) as total_count from ({_TABLES}) where type = 'article' and (({_has('title', 'is', 'the')}) or ({_has('summary', 'is', 'the')}))", "article")
+@query("search_count", f"select count(*) as total_count from ({_TABLES}) where type = 'article' and (({_has('title', 'disgusting', 'trash')}) or ({_has('summary', 'disgusting', 'trash')}))", "article")
 def _(v):
-    return search.search_count(_tables(v), "the is", ["article"])
+    return search.search_count(_tables(v), "the disgusting trash", ["article"])
 
 
-@query("search_page")
+@query("search_page", f"select * from ({_RANKED}) order by rank desc nulls first, type, id limit 20", "article")
 def _(v):
-    return search.search_page(_tables(v), "the is", None, 1).select("type", "id", "rank")
+    return search.search_page(_tables(v), "disgusting", None, 1).select("type", "id", "rank")
 
 
 # --- ingest ------------------------------------------------------------------------------------
@@ -619,10 +693,14 @@ def _(v):
     return v.raw("pages").select("page_id", web.is_feed(F.col("html")).alias("is_feed"))
 
 
-@query("feedish_links", "select page_id, href from (select page_id, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*\"([^\"]*)\"', 1)) as href from pages) where regexp_matches(lower(href), 'th|rss|xml')")
+_ENDED = "href || case page_id % 4 when 0 then '/feed.rss' when 1 then '.XML' when 2 then '-Atom' else '' end"
+
+
+@query("feedish_links", f"select page_id, href from (select page_id, {_ENDED} as href from (select page_id, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*\"([^\"]*)\"', 1)) as href from pages)) where regexp_matches(lower(href), 'rss|rdf|xml|atom')")
 def _(v):
     links = v.raw("pages").select("page_id", F.explode(web.anchors(F.col("html"))).alias("href"))
-    return links.filter(web.is_feedish_link(F.col("href")) | F.lower("href").rlike("th|rss|xml"))
+    ended = F.concat("href", F.element_at(F.array(F.lit("/feed.rss"), F.lit(".XML"), F.lit("-Atom"), F.lit("")), F.pmod(F.col("page_id"), F.lit(4)).cast("int") + 1))
+    return links.select("page_id", ended.alias("href")).filter(web.is_feedish_link(F.col("href")))
 
 
 @query("full_url", "select page_id, case when regexp_matches(u, '^https?://') then u else 'http://' || u end as url from (select page_id, case when page_id % 2 = 0 then url else regexp_replace(url, '^https?://', '') end as u from pages)")
@@ -631,9 +709,20 @@ def _(v):
     return v.raw("pages").select("page_id", T.full_url(u).alias("url"))
 
 
-@query("extract_text", "select page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) as title from pages")
+_MAIN = "coalesce(nullif(regexp_extract(page, '(?is)<article\\b[^>]*>(.*?)</article>', 1), ''), nullif(regexp_extract(page, '(?is)<body\\b[^>]*>(.*?)</body>', 1), ''), page)"
+_BARE = f"regexp_replace(regexp_replace({_MAIN}, '(?is)" + "|".join(f"<{t}\\b.*?</{t}\\s*>" for t in ("script", "style", "nav", "footer")) + "|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    _BARE = f"replace({_BARE}, '{_name}', '{_char}')"
+
+
+@query(
+    "extract_text",
+    f"select page_id, trim(regexp_extract(page, '(?is)<title[^>]*>(.*?)</title>', 1)) as title, trim(regexp_replace({_BARE}, '\\s+', ' ', 'g')) as text, nullif(regexp_extract(page, '(?is)<link[^>]*rel=\"canonical\"[^>]*href=\"([^\"]*)\"', 1), '') as canonical, "
+    "nullif(regexp_extract(page, '(?is)<meta[^>]*property=\"og:image\"[^>]*content=\"([^\"]*)\"', 1), '') as image from (select page_id, replace(substr(html, strpos(html, '<')), '<title>', case page_id % 2 when 0 then '<link rel=\"canonical\" href=\"' || url || '\"><meta property=\"og:image\" content=\"/a.png\"><title>' else '<title>' end) as page from pages)",
+)
 def _(v):
-    return v.raw("pages").select("page_id", web.extract(F.col("html"))["title"].alias("title"))
+    head = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<link rel="canonical" href="'), F.col("url"), F.lit('"><meta property="og:image" content="/a.png"><title>'))).otherwise(F.lit("<title>"))
+    return v.raw("pages").select("page_id", web.extract(F.replace("html", F.lit("<title>"), head)).alias("x")).select("page_id", "x.title", "x.text", "x.canonical", "x.image")
 
 
 @query("sanitize", "select page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) as text from pages")
@@ -641,10 +730,15 @@ def _(v):
     return v.raw("pages").select("page_id", T.sanitize(F.col("html")).alias("text"))
 
 
-@query("discover_feeds")
+_ROOT = "regexp_replace(url, '([^/:])/[^/]*$', '\\1')"
+
+
+@query("discover_feeds", f"with r as (select page_id, url, {_ROOT} || '/feed' as feed from pages) select distinct url, feed from r where feed in (select feed from r where page_id % 2 = 0)")
 def _(v):
-    pages = v.raw("pages").select("url", "html")
-    return web.discover(pages, pages)
+    pages = v.raw("pages").select("page_id", "url", "html")
+    root = F.regexp_replace("url", r"(?<![/:])/[^/]*$", "")
+    feeds = pages.filter("page_id % 2 = 0").select(F.concat(root, F.lit("/feed")).alias("url"), F.lit("<?xml version='1.0'?><rss></rss>").alias("html"))
+    return web.discover(pages.select("url", "html"), pages.select("url", "html").union(feeds))
 
 
 # --- knowledge ---------------------------------------------------------------------------------

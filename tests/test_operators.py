@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
-from newsloom.operators import clusters, concepts, ingest, ranking, search, summarize, users, web
+from newsloom.operators import api, clusters, concepts, ingest, ranking, search, summarize, users, web
 from newsloom.sources import readers
 from newsloom.streaming import ingest as stream
 
@@ -170,7 +170,8 @@ def test_multi_summary():
 def test_feeds(spark):
     page = '<html><link rel="alternate" type="application/rss+xml" href="/rss.xml"><a href="http://x.org/a.rss">a</a></html>'
     rows = spark.createDataFrame([("http://x.org/", page), ("http://y.org", '<html><a href="http://y.org/news.rdf">n</a></html>'), ("http://z.org/f", "<rss></rss>")], "url string, html string")
-    known = rows.union(spark.createDataFrame([("http://x.org/rss.xml", "<rss/>")], "url string, html string"))
+    known = rows.union(spark.createDataFrame([("http://x.org/rss.xml", "<rss/>"), ("http://y.org/news.rdf", "<rdf></rdf>")], "url string, html string"))
+    assert values(web.discover(rows, rows), "url", "feed") == [("http://z.org/f", "http://z.org/f")]  # what is unknown is no feed
     assert values(web.discover(rows, known), "url", "feed") == [("http://x.org/", "http://x.org/rss.xml"), ("http://y.org", "http://y.org/news.rdf"), ("http://z.org/f", "http://z.org/f")]
 
 
@@ -279,3 +280,48 @@ def test_summaries_are_of_all_members(spark, monkeypatch):
     monkeypatch.setattr(summarize, "cluster_summary", lambda members, *_: members)
     monkeypatch.setattr(summarize, "provenance", lambda summaries, members, *_: summaries.select("id").union(members.select("id")))
     assert [queries.QUERIES[q](spark, folder).count() for q in ("multi_summarize", "cluster_summaries", "summary_provenance")] == [every, every, 2 * every] and every > 0
+
+
+def test_stop_words_are_not_searched_for(spark):
+    rows = {"article": spark.createDataFrame([(1, "The is", "the is of"), (2, "A license", None)], "id long, title string, summary string")}
+    assert search.search(rows, "the is").count() == 0 and values(search.search(rows, "the license of"), "id") == [(2,)]
+
+
+def test_labels_images_and_scopes(spark):
+    members = spark.createDataFrame([(1, 5, "five", None), (1, 6, "six", "b"), (2, 7, "seven", "c"), (2, 8, "eight", "a")], "event_id long, id long, title string, image string")
+    assert values(ranking.images(members, "event_id"), "event_id", "images") == [(1, ["b"]), (2, ["c", "a"])]
+    nearest = spark.createDataFrame([(1, 6), (2, 8)], "event_id long, id long")
+    events = clusters.event_labels(members, nearest).withColumn("updated_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    stories = spark.createDataFrame([(9, 1), (9, 2)], "story_id long, event_id long")
+    assert values(clusters.story_labels(stories, events), "story_id", "title", "image") == [(9, "six", "b")]
+    assert values(spark.createDataFrame([(" a  b ",), ("",), (None,)], "s string").select(T.split_scopes(F.col("s")).alias("x")), "x") == [([],), ([],), (["a", "b"],)]
+
+
+def test_hierarchy_is_saved(spark, tmp_path):
+    labels = spark.createDataFrame([(1, 1), (2, 1)], "id long, cluster long")
+    clusters.save_hierarchy(labels, f"file://{tmp_path}/level")
+    assert values(clusters.load_hierarchy(spark, f"file://{tmp_path}/level"), "id", "cluster") == [(1, 1), (2, 1)]
+
+
+def test_documents(spark):
+    import json
+
+    stories = spark.createDataFrame([(1, "t", None)], "story_id long, title string, image string").withColumn("updated_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    links = spark.createDataFrame([(1, 3), (1, 2)], "story_id long, event_id long")
+    assert json.loads(api.story_documents(stories, links).first().json)["events"] == [2, 3]
+    held = spark.createDataFrame([("x", 1, 0.2), ("x", 2, 0.9)], "slug string, event_id long, relatedness double")
+    named = spark.createDataFrame([("x", "X"), ("y", None)], "slug string, name string")
+    assert [[e["id"] for e in json.loads(r.json)["events"]] for r in api.concept_documents(named, held).collect()] == [[2, 1]]
+
+
+def test_scratch_removes_its_tables(spark):
+    from newsloom.plans import lineage
+
+    with lineage.scratch(spark):
+        inner = lineage.materialise(spark.range(3), "inner")
+        with lineage.scratch(spark):
+            kept = lineage.materialise(inner, "kept", outlives=True)
+        assert kept.count() == inner.count() == 3
+        paths = inner._newsloom_path, kept._newsloom_path
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    assert not any(hadoop.Path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop.Path(p)) for p in paths)
