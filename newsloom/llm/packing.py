@@ -48,28 +48,28 @@ def units_of(texts: list[str], window: int, c: Codec) -> list[tuple[list[int], l
     for text, found in zip(texts, stops):
         if text and (not found or found[-1] < len(text)):
             found.append(len(text))
-    words, ids = c.ids_of_words([text[a:b].rstrip() for text, found in zip(texts, stops) for a, b in zip([0, *found], found)])
-    get = ids.__getitem__
-    tokens = [len(b"".join(map(get, some))) // 4 for some in words]
+    units = [text[a:b].rstrip() for text, found in zip(texts, stops) for a, b in zip([0, *found], found)]
+    tokens = c.counts(units)
     out, at = [], 0
     for found in stops:
         counts = tokens[at : at + len(found)]
         if counts and max(counts) > window:
-            out.append(_shortened(found, counts, words[at : at + len(found)], ids, window, c))
+            out.append(_shortened(found, counts, units[at : at + len(found)], window, c))
         else:
             out.append((found, counts))
         at += len(found)
     return out
 
 
-def _shortened(stops: list[int], tokens: list[int], words: list[list[str]], ids: dict[str, bytes], window: int, c: Codec) -> tuple[list[int], list[int]]:
+def _shortened(stops: list[int], tokens: list[int], units: list[str], window: int, c: Codec) -> tuple[list[int], list[int]]:
     """Ends and counts where sentences of more than ``window`` tokens are cut."""
     ends: list[int] = []
     counts: list[int] = []
-    for start, stop, n, some in zip([0, *stops], stops, tokens, words):
+    for start, stop, n, unit in zip([0, *stops], stops, tokens, units):
         if n > window:
+            (words,), ids = c.ids_of_words([unit])
             n, place = 0, start - c.prefix
-            for word in some:
+            for word in words:
                 size = len(ids[word]) // 4
                 parts = [(len(word), size)] if size <= window else [(len(p), len(c._ids([p]))) for p in c.stream(word)]
                 for length, more in parts:

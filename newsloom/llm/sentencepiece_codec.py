@@ -118,6 +118,7 @@ class Codec:
             self.lanes = _Lanes(self)
         self.whole_words = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.known: dict[str, bytes] = {}  # ids by word, packed; it is emptied when it is full
+        self.sizes: dict[str, int] = {}  # the same for numbers of ids, by words without the space before them
         self.remembered = remembered
         self.texts = [self._text(i) for i in range(len(self.pieces))]
         self.byte_ids = frozenset(self.bytes.values())
@@ -278,6 +279,23 @@ class Codec:
             (known if len(w) <= 64 else long)[w] = ids
         return cut, known if not long else known | long
 
+    def counts(self, texts: list[str]) -> list[int]:
+        """How many ids each text is encoded to."""
+        plain = self.kind == MERGES and self.prefix and self.whole_words
+        cut = [text.split(" ") if plain and text and text[0] != " " and "  " not in text and SPACE not in text else () for text in texts]
+        sizes, every = self.sizes, set().union(*cut)
+        new = [w for w in every if w not in sizes]
+        if len(sizes) + len(new) > self.remembered * 4 // 5:
+            sizes.clear()
+            new = list(every)
+        if new:
+            sizes.update(zip(new, (len(x) // 4 for x in self.lanes.ids([SPACE + w for w in new]))))
+        out = [sum(map(sizes.__getitem__, words)) for words in cut]
+        others = [k for k, (text, words) in enumerate(zip(texts, cut)) if text and not words]
+        for k, ids in zip(others, self.encode_batch([texts[k] for k in others]) if others else ()):
+            out[k] = len(ids)
+        return out
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         cut, found = self.ids_of_words(texts)
         return [np.frombuffer(b"".join(map(found.__getitem__, words)), "<i4") for words in cut]
