@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.llm import html_extract, jaccard, language, line_dedup, media, media_column, packing, pii, quality, urls
+from newsloom.llm import html_extract, jaccard, language, line_dedup, media, media_column, packing, pii, quality, queries, urls
 from newsloom.llm import sentencepiece_codec as sp
 from newsloom.llm.common import row_key
 
@@ -169,6 +169,64 @@ def test_jaccard_rows_hold_both_lists(spark):
     assert len(jaccard.expand(got).collect()) == 6
 
 
+def brute_classes(rows, n=jaccard.N, threshold=jaccard.THRESHOLD):
+    pairs = brute_pairs(rows, n, threshold)
+    label = {i: i for i, _ in rows}
+    for _ in range(len(rows)):
+        before = dict(label)
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    links = collections.Counter(i for pair in pairs for i in pair)
+    return {i: (label[i], links[i]) for i in label}
+
+
+@pytest.mark.parametrize("block", [16, 256])
+def test_classes_of_many_near_copies(spark, monkeypatch, block):
+    rnd = random.Random(8)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rows = []
+    for cluster, (size, edits) in enumerate([(150, 4), (80, 2), (20, 3), (1, 0)]):
+        base = [f"w{rnd.randint(0, 10**6)}" for _ in range(120)]
+        for k in range(size):
+            words = list(base)
+            for _ in range(edits):
+                words[rnd.randrange(120)] = f"e{rnd.randint(0, 10**6)}"
+            rows.append((1000 * (4 - cluster) + k, " ".join(words)))
+    rows += [(9000 + k, rows[0][1]) for k in range(5)] + [(9100, rows[-1][1]), (9200, ""), (9300, None)]
+    df = spark.createDataFrame(rows + rows[:3], "doc_id long, text string")
+    got = jaccard.classes(df)
+    assert got.columns == ["doc_id", "class_id", "n_links"]
+    found, want = got.collect(), brute_classes(rows)
+    assert {r.doc_id: r.class_id for r in found} == {i: c for i, (c, _) in want.items()} and len(found) == len(rows)
+    assert all(r.n_links <= want[r.doc_id][1] for r in found)
+    assert sum(r.n_links for r in found) >= 0.99 * sum(n for _, n in want.values())
+    assert [r.doc_id for r in jaccard.drop_near_duplicates(df).orderBy("doc_id").collect()] == sorted({c for c, _ in want.values()})
+
+
+def test_classes_equal_brute_force(spark, docs):
+    want = brute_classes([(r.doc_id, r.text) for r in docs.collect()])
+    found = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.classes(docs).collect()}
+    assert found.keys() == want.keys() and sum(found[i] == want[i] for i in want) >= 0.95 * len(want)
+    assert {r.doc_id for r in queries.op2_ngram_jaccard_join(spark, SMALL).collect()} == want.keys()
+
+
+def test_classes_on_odd_input(spark):
+    assert jaccard.classes(nothing(spark)).count() == 0
+    two = spark.createDataFrame([(7, "a b c d"), (7, "a b c e"), (7, "a b c e"), (8, "a"), (9, "A!"), (None, "a"), (5, "?"), (6, None)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard.classes(two).collect()) == [(5, 5, 0), (6, 6, 0), (7, 7, 0), (7, 7, 0), (8, 8, 1), (9, 8, 1)]
+
+
+def test_shared_both_ways():
+    rnd = random.Random(1)
+    sets = [np.unique(np.array([rnd.randint(0, 9000) for _ in range(900)], np.uint64)) for _ in range(9)]
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    assert (jaccard.shared(sets, 4, False) == want[:4, 4:]).all()
+    got = jaccard.shared(sets, 9, True)
+    assert (np.triu(got, 1) == np.triu(want, 1)).all()
+
+
 def test_recall_at_the_threshold():
     least = jaccard.least_matches(jaccard.THRESHOLD, jaccard.TOLERANCE)
     equal = np.random.RandomState(1).rand(20_000, jaccard.HASHES) < jaccard.THRESHOLD
