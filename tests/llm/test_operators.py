@@ -765,6 +765,27 @@ def test_line_dedup_of_a_shuffled_table(spark, request, partitions):
     assert {(r.doc_id, r.tie): set(r.lines) for r in line_dedup.repeated_lines(df).collect()} == lines_in_order(df)
 
 
+def test_reach_has_every_pair_that_may_match_and_few_others():
+    rnd, t = np.random.RandomState(5), line_dedup.THRESHOLD - 1e-9
+    n = rnd.randint(1, 60, 1500)
+    i = np.floor(rnd.rand(1500) * (n - np.ceil(t * n) + 1)).astype(np.int64)
+    group = rnd.randint(0, 4, 1500)
+    order = np.lexsort((i, n, group))
+    group, n, i = group[order], n[order], i[order]
+    index, low, high = line_dedup.reach(group, n, i, t)
+    found = [(x, y) for x in range(1500) for y in index[low[x] : high[x]].tolist()]
+    same = [(x, y) for x in range(1500) for y in range(x) if group[x] == group[y] and n[y] >= t * n[x]]
+    may = {(x, y) for x, y in same if min(n[x] - i[x], n[y] - i[y]) >= np.ceil(t / (1 + t) * (n[x] + n[y]))}
+    assert may <= set(found) <= set(same) and len(set(found)) == len(found) < 0.5 * len(same)
+
+
+def test_earliest_of_rows_of_one_set():
+    rows = [(1, 5, 0, 9), (1, 5, 0, 3), (1, 5, 0, 4), (1, 6, 0, 1), (2, 6, 0, 8), (2, 6, 1, 7), (2, 7, 1, 7), (2, 7, 1, 2)]
+    word, node, i, at = (np.array(x) for x in zip(*rows))
+    assert line_dedup.earliest(word, node, i, (np.zeros(8, bool), at)).tolist() == [1, 3, 4, 5, 7]
+    assert line_dedup.earliest(word[:0], node[:0], i[:0], (at[:0],)).tolist() == []
+
+
 def test_line_dedup_on_documents(spark, docs):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     gone = brute_lines(rows)
