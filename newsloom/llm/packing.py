@@ -36,7 +36,8 @@ from .common import bound_batches, discard, materialise, row_key, small_batches
 from .sentencepiece_codec import MODEL, Codec, codec, shipped
 
 WINDOW, TRUNCATION, SHARD_TOKENS = 2048, 256.0, 1 << 20
-_END = re.compile(r"(?<=[.!?…。])\s+|\n+")
+#: white space after a full stop, or line ends; it begins with one class of characters, to which re skips
+_END = re.compile(r"\s(?:(?<=[.!?…。]\s)\s*|(?<=\n)\n*)")
 
 
 def units_of(texts: list[str], window: int, c: Codec) -> list[tuple[list[int], list[int]]]:

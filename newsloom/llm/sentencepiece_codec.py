@@ -27,6 +27,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -281,21 +282,45 @@ class Codec:
 
     def counts(self, texts: list[str]) -> list[int]:
         """How many ids each text is encoded to."""
-        plain = self.kind == MERGES and self.prefix and self.whole_words
-        cut = [text.split(" ") if plain and text and text[0] != " " and "  " not in text and SPACE not in text else () for text in texts]
-        sizes, every = self.sizes, set().union(*cut)
-        new = [w for w in every if w not in sizes]
-        if len(sizes) + len(new) > self.remembered * 4 // 5:
-            sizes.clear()
-            new = list(every)
-        if new:
-            sizes.update(zip(new, (len(x) // 4 for x in self.lanes.ids([SPACE + w for w in new]))))
-        out = [sum(map(sizes.__getitem__, words)) for words in cut]
-        others = [k for k, (text, words) in enumerate(zip(texts, cut)) if text and not words]
+        out = [0] * len(texts)
+        left = range(len(texts))
+        if self.kind == MERGES and self.prefix and self.whole_words:
+            try:
+                array = pa.array(texts, pa.large_string())
+            except UnicodeEncodeError:  # lone surrogates
+                array = None
+            if array is not None:
+                odd = pc.or_(pc.or_(pc.starts_with(array, " "), pc.match_substring(array, "  ")), pc.match_substring(array, SPACE))
+                plain = pc.and_(pc.invert(odd), pc.not_equal(array, "")).to_numpy(zero_copy_only=False)
+                some = np.flatnonzero(plain)
+                if len(some):
+                    found = self._plain_counts(array.take(pa.array(some)))
+                    for k, n in zip(some.tolist(), found.tolist()):
+                        out[k] = n
+                left = np.flatnonzero(~plain).tolist()
+        others = [k for k in left if texts[k]]
         for k, ids in zip(others, self.encode_batch([texts[k] for k in others]) if others else ()):
             out[k] = len(ids)
         return out
 
+    def _plain_counts(self, texts: pa.Array) -> np.ndarray:
+        """``counts`` of texts whose words are what stands between single spaces: each distinct
+        word is looked up once."""
+        cut = pc.split_pattern(texts, " ")
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        sizes = self.sizes
+        found = list(map(sizes.get, words))
+        new = [w for w, n in zip(words, found) if n is None]
+        if new and len(sizes) + len(new) > self.remembered * 4 // 5:
+            sizes.clear()
+            new = words
+        if new:
+            sizes.update(zip(new, (len(x) // 4 for x in self.lanes.ids([SPACE + w for w in new]))))
+            found = list(map(sizes.__getitem__, words))
+        starts = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
+        return np.add.reduceat(np.array(found, np.int64)[coded.indices.to_numpy()], starts)
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         cut, found = self.ids_of_words(texts)
         return [np.frombuffer(b"".join(map(found.__getitem__, words)), "<i4") for words in cut]

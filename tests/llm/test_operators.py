@@ -5,6 +5,7 @@ import collections
 import gzip
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -678,6 +679,36 @@ def test_tokens_are_those_of_the_model():
     assert len(packing.units_of(["word " * 30], 10, c)[0][0]) == 3
 
 
+def test_counts_look_up_each_word_once():
+    class Seen(dict):
+        looked = 0
+
+        def get(self, *key):
+            Seen.looked += 1
+            return super().get(*key)
+
+        def __getitem__(self, key):
+            Seen.looked += 1
+            return super().__getitem__(key)
+
+    c = sp.Codec(sp.MODEL)
+    c.sizes = Seen()
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.choices(["one", "zwei", "trois", "日本語", "x" * 80, "a.b", ""], k=30)).strip(" ") for _ in range(200)]
+    texts += ["", " ", " a", "a ", "a  b", "\u2581a", "lone \ud800 half"]
+    assert c.counts(texts) == [len(c.encode(t)) for t in texts]
+    assert c.counts(texts[:-1]) == [len(c.encode(t)) for t in texts[:-1]] and c.counts([]) == []
+    assert 0 < Seen.looked < 100
+
+
+def test_sentences_end_where_they_did():
+    rnd = random.Random(3)
+    before = re.compile(r"(?<=[.!?…。])\s+|\n+")
+    for _ in range(3000):
+        text = "".join(rnd.choices("ab.!。 \n\t\u3000", k=rnd.randint(0, 14)))
+        assert [m.span() for m in packing._END.finditer(text)] == [m.span() for m in before.finditer(text)]
+
+
 def test_padding_is_the_same_for_dense_and_sparse_ids(spark):
     text = "some words in a sentence of ten or so here. " * 30
     padding = []
