@@ -118,6 +118,15 @@ def test_stages_on_odd_rows(spark):
         assert df.count() <= 1
 
 
+def test_near_copies_make_few_edges(spark):
+    words = [f"w{k}" for k in range(150)]
+    rows = [(k, " ".join(words[:k] + [f"other{k}"] + words[k + 1 :])) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    m = jaccard.Matches(df, "doc_id", "text", jaccard.N, jaccard.THRESHOLD, jaccard.TOLERANCE)
+    assert m.edges.count() < 1000 < len(rows) * (len(rows) - 1) // 2
+    assert m.links.agg({"links": "max"}).first()[0] == len(rows) - 1
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} <= {x.split("_")[0] for x in names}
