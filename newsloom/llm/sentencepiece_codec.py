@@ -119,10 +119,7 @@ class Codec:
             self.lanes = _Lanes(self)
         self.whole_words = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.known: dict[str, bytes] = {}  # ids by word, packed; it is emptied when it is full
-        #: numbers of ids, by words without the space before them, in two halves: when the newer is full it becomes the
-        #: older, and words of the older that are met again go to the newer, so words in use are never forgotten
-        self.sizes: dict[str, int] = {}
-        self.older: dict[str, int] = {}
+        self.sizes: dict[str, int] = {}  # the same for numbers of ids, by words without the space before them
         self.remembered = remembered
         self.texts = [self._text(i) for i in range(len(self.pieces))]
         self.byte_ids = frozenset(self.bytes.values())
@@ -312,19 +309,15 @@ class Codec:
         cut = pc.split_pattern(texts, " ")
         coded = cut.flatten().dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        sizes, older = self.sizes, self.older
+        sizes = self.sizes
         found = list(map(sizes.get, words))
-        missing = [w for w, n in zip(words, found) if n is None]
-        if missing:
-            again = {w: n for w, n in zip(missing, map(older.get, missing)) if n is not None}
-            new = [w for w in missing if w not in again]
-            if new:
-                again.update(zip(new, (len(x) // 4 for x in self.lanes.ids([SPACE + w for w in new]))))
-            found = [again[w] if n is None else n for w, n in zip(words, found)]
-            if len(sizes) + len(again) > self.remembered * 2 // 5:
-                self.older, self.sizes = sizes, again
-            else:
-                sizes.update(again)
+        new = [w for w, n in zip(words, found) if n is None]
+        if new and len(sizes) + len(new) > self.remembered * 4 // 5:
+            sizes.clear()
+            new = words
+        if new:
+            sizes.update(zip(new, (len(x) // 4 for x in self.lanes.ids([SPACE + w for w in new]))))
+            found = list(map(sizes.__getitem__, words))
         starts = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
         return np.add.reduceat(np.array(found, np.int64)[coded.indices.to_numpy()], starts)
 
