@@ -817,6 +817,44 @@ def test_earliest_of_rows_of_one_set():
     assert line_dedup.earliest(word[:0], node[:0], i[:0], (at[:0],)).tolist() == []
 
 
+def test_a_batch_sends_one_line_of_each_set():
+    import pyarrow as pa
+
+    class levels:
+        value = np.zeros(line_dedup.SLOTS, np.uint8)
+
+    def heads(*rows):
+        columns = [pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.bool_(), pa.int64(), pa.int64(), pa.string()))]
+        (out,) = line_dedup._lines(levels, 0.8)(iter([pa.RecordBatch.from_arrays(columns, ["nulls", "doc_id", "tie", "text"])]))
+        node, nulls, doc_id, line, again = (out.column(c).to_pylist() for c in ("node", "nulls", "doc_id", "line", "again"))
+        sent = out.filter(pa.array([x is False for x in again])).select(["node", "nulls", "doc_id", "tie", "line"]).to_pydict()
+        sent["line"] = [~x if null else x for x, null in zip(sent["line"], sent.pop("nulls"))]
+        sent = pa.table(sent, pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("line", pa.int32())]))
+        return node, list(zip(nulls, doc_id, line, again)), list(line_dedup._by_node(2)(iter(sent.to_batches())))
+
+    same = (False, 3, 2, "a c b\n\nq")
+    node, lines, sent = heads((False, 7, 1, "a b c\nx y\nc b a"), same, (True, 0, 3, "x y"), same)
+    assert lines == [(False, 7, 0, True), (False, 7, 1, False), (False, 7, 2, True), (False, 3, 0, False), (False, 3, 2, False), (True, 0, 0, True), (False, 3, 0, None), (False, 3, 2, None)]
+    more = heads((True, 0, 4, "q"), same, (False, 1, 5, "c a b"), (False, 9, 6, "only here"))
+    gone = list(line_dedup._by_node(2)(iter([pa.RecordBatch.from_arrays([pa.array([more[0][-1]])], ["node"])])))
+    gone = [pa.RecordBatch.from_arrays([*x.columns, *[pa.nulls(1, pa.binary())] * 3], ["part", "node", "doc_id", "tie", "line"]) for x in gone]
+    out = [tuple(x.values()) for b in line_dedup._removed(iter([*sent, *gone, *more[2]])) for x in b.to_pylist()]
+    assert sorted(out) == [(False, 3, 2, 0), (False, 9, 6, 0)]
+
+
+def test_any_order_of_words_gives_the_same_lines(spark, monkeypatch):
+    rnd = random.Random(12)
+    rows = []
+    for i in range(80):
+        line = [f"w{k}" for k in range(rnd.randint(0, 4), 24)]
+        rows.append((i, "\n".join([" ".join(rnd.sample(line, len(line) - rnd.randint(0, 4))), f"line of {i % 9} only", " ".join(line)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for seed in (None, 1):  # as counted; at random
+        if seed:
+            monkeypatch.setattr(line_dedup, "rarity", lambda texts: np.random.RandomState(seed).randint(0, 256, line_dedup.SLOTS).astype(np.uint8))
+        assert {r.doc_id: set(r.lines) for r in line_dedup.repeated_lines(df).collect()} == brute_lines(rows)
+
+
 def test_line_dedup_on_documents(spark, docs):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     gone = brute_lines(rows)
