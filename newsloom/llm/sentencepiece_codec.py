@@ -32,7 +32,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, small_batches
+from .common import bound_batches, remembered, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -524,6 +524,9 @@ def codec(model: str | bytes) -> Codec:
     return Codec(model)
 
 
+remembered.append((lambda: codec.cache_info().currsize > 0, codec.cache_clear))
+
+
 def shipped(spark: SparkSession, model: str) -> Broadcast:
     """The bytes of a model file that only the driver has to have."""
     return spark.sparkContext.broadcast(Path(model).read_bytes())

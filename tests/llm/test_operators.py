@@ -842,6 +842,59 @@ def test_a_batch_sends_one_line_of_each_set():
     assert sorted(out) == [(False, 3, 2, 0), (False, 9, 6, 0)]
 
 
+def test_line_dedup_takes_little_memory_for_a_batch():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class levels:
+        value = np.zeros(line_dedup.SLOTS, np.uint8)
+
+    rnd = np.random.RandomState(4)
+    words = np.char.add("word", np.arange(200_000).astype(str))
+    texts = ["\n".join(" ".join(line) for line in rnd.choice(words, (10, 40))) for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array([False] * 1500), pa.array(range(1500)), pa.array(range(1500)), pa.array(texts)], ["nulls", "doc_id", "tie", "text"])
+    assert 5 << 20 < batch.column("text").nbytes < 8 << 20
+    for run in (line_dedup._count, line_dedup._lines(levels, 0.8)):
+        tracemalloc.start()
+        for _ in run(iter([batch])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 45 << 20
+
+
+def test_line_dedup_releases_what_packing_left():
+    import pyarrow as pa
+
+    class levels:
+        value = np.zeros(line_dedup.SLOTS, np.uint8)
+
+    text = pa.array(["one two\nthree"])
+    batch = pa.RecordBatch.from_arrays([pa.array([False]), pa.array([1]), pa.array([1]), text], ["nulls", "doc_id", "tie", "text"])
+    for run in (line_dedup._count, line_dedup._lines(levels, 0.8)):
+        packing.units_of(text.to_pylist(), 10, sp.codec(sp.MODEL))
+        assert sp.codec.cache_info().currsize
+        assert list(run(iter([batch]))) and not sp.codec.cache_info().currsize
+    assert packing.units_of(text.to_pylist(), 10, sp.codec(sp.MODEL)) == [([8, 13], [2, 1])]
+
+
+def test_blocks_of_words_give_the_same_hashes_and_marks(monkeypatch):
+    import pyarrow as pa
+
+    rnd = np.random.RandomState(6)
+    words = pa.array(["", *[f"\u00e4{k}" for k in range(3000)], "q" * 9000, "", ""])
+    lines = [" ".join(f"w{k}" for k in rnd.choice(4000, n, replace=False)) for n in rnd.randint(1, 400, 60)]
+    found = []
+    for block in (1 << 30, 1000, 1):
+        monkeypatch.setattr(line_dedup, "BLOCK", block)
+        w = line_dedup.Words(pa.array(["\n".join(lines)]))
+        _, start, code = w.sets(np.argsort(w.hashes))
+        n = np.diff(np.r_[start, len(code)])
+        found.append([line_dedup.hashes_of(words).tolist(), *(x.tolist() for x in line_dedup.marks(w.hashes, code, start, n))])
+    assert found[0] == found[1] == found[2] and line_dedup.hashes_of(pa.array(["", ""])).tolist() == [0, 0]
+
+
 def test_any_order_of_words_gives_the_same_lines(spark, monkeypatch):
     rnd = random.Random(12)
     rows = []
