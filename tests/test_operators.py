@@ -256,6 +256,55 @@ def test_counters(spark):
     assert one(spark, T.xml_count(F.lit("no"), "a/b")) == 0.0
 
 
+def vectors_of(spark, n, seed):
+    import numpy as np
+
+    x = np.random.default_rng(seed).normal(size=(n, 6)).round(2)
+    x[3] = 0
+    rows = [(k % 2, k * 7 % n, [float(e) for e in x[k]]) for k in range(n)]
+    rows += [(0, n, None), (0, n + 1, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (0, n + 2, [1.0]), (0, n + 3, [2.0]), (None, n + 4, [1.0])]
+    return rows, spark.createDataFrame(rows, "day int, id long, vector array<double>")
+
+
+def brute_pairs(rows, least):
+    import math
+
+    def cosine(u, v):
+        if u is None or v is None or len(u) != len(v) or None in u or None in v:
+            return None
+        norm = math.sqrt(sum(e * e for e in u) * sum(e * e for e in v))
+        return sum(a * b for a, b in zip(u, v)) / norm if norm else None
+
+    found = {}
+    for da, a, u in rows:
+        for db, b, v in rows:
+            if da is not None and da == db and a < b and (s := cosine(u, v)) is not None and s >= least:
+                found[a, b] = s
+    return found
+
+
+@pytest.mark.parametrize("block", [16, 2048])
+def test_similar_components_meet_no_pairs_twice_and_are_exact(spark, monkeypatch, block):
+    monkeypatch.setattr(clusters, "BLOCK", block)
+    for least in (0.8, 0.93):
+        rows, df = vectors_of(spark, 150, 1)
+        parent = {r[1]: r[1] for r in rows}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in brute_pairs(rows, least):
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+        made = []
+        monkeypatch.setattr(clusters, "similar_pairs", lambda *_: made.append(1))
+        assert values(clusters.similar_components(df, least, "day"), "id", "cluster") == sorted((x, root(x)) for x in parent) and not made
+        links = clusters._blocks(df, "day", "id", "vector").withColumn("group", F.lit(0)).select("within", "width", "group", "id", "vector")
+        assert clusters._links(links, ["group"], -2.0).count() < len(rows)  # all are similar: as many edges as a tree has
+
+
 def test_reclustering_nests(spark):
     rows = [(1, 0, [1.0, 0.0]), (2, 0, [0.99, 0.1]), (3, 0, [0.8, 0.6]), (4, 0, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "id long, day long, vector array<double>")
