@@ -305,6 +305,18 @@ def test_similar_components_meet_no_pairs_twice_and_are_exact(spark, monkeypatch
         assert clusters._links(links, ["group"], -2.0).count() < len(rows)  # all are similar: as many edges as a tree has
 
 
+@pytest.mark.parametrize("block", [16, 2048])
+def test_similar_pairs_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(clusters, "BLOCK", block)
+    rows, df = vectors_of(spark, 120, 2)
+    got = {(a, b): s for a, b, s in values(clusters.similar_pairs(df, 0.5, "day"), "a", "b", "similarity")}
+    want = brute_pairs(rows, 0.5)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    exact = spark.createDataFrame([(0, 1, [0.1, 0.0]), (0, 2, [0.06, 0.08])], "day int, id long, vector array<double>")
+    least = brute_pairs([tuple(r) for r in exact.collect()], 0)[1, 2]
+    assert clusters.similar_pairs(exact, least, "day").count() == 1
+
+
 def test_reclustering_nests(spark):
     rows = [(1, 0, [1.0, 0.0]), (2, 0, [0.99, 0.1]), (3, 0, [0.8, 0.6]), (4, 0, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "id long, day long, vector array<double>")
