@@ -317,6 +317,13 @@ def test_similar_pairs_in_blocks(spark, monkeypatch, block):
     assert clusters.similar_pairs(exact, least, "day").count() == 1
 
 
+def test_reclustering_makes_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "similar_pairs", None)
+    _, df = vectors_of(spark, 60, 3)
+    events, stories = clusters.recluster(df, "day", 0.95, 0.8)
+    assert events.count() == 65 and stories.select("event_id").distinct().count() == events.select("event_id").distinct().count()
+
+
 def test_reclustering_nests(spark):
     rows = [(1, 0, [1.0, 0.0]), (2, 0, [0.99, 0.1]), (3, 0, [0.8, 0.6]), (4, 0, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "id long, day long, vector array<double>")
