@@ -161,6 +161,23 @@ def test_summary(spark):
     assert [x for x in got if x[0] == 1] == [(1, k) for k in range(1, 6)]
 
 
+def test_sentences_of_odd_texts_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    from newsloom import queries
+
+    odd = ["", "   ", None, "a.\x0bb", "a.\x0b b. c", "a\x01b. c", "a.\x01 b", "x.\n", "\n x", " \t.", "a.  .  b", "a.\x85b", "a.\u2003b", "a.\u00a0b", "A. B! C?\tD"]
+    spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").selectExpr("*", "'s' as source").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(len(odd)).selectExpr("id as event_id", "timestamp_ntz '2024-01-01' as ts", "1.0d as value").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "events"):
+        con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    for name in ("sentences", "sentence_features"):
+        result = con.execute(queries.ORACLE_SQL[name])
+        columns = [c[0] for c in result.description]
+        assert sorted(map(repr, result.fetchall())) == sorted(repr(tuple(r[c] for c in columns)) for r in queries.QUERIES[name](spark, str(tmp_path)).collect())
+
+
 def test_multi_summary():
     docs = ["Cats are nice animals. They sleep.", "Cats are nice animals that sleep a lot. Dogs bark.", ""]
     got = summarize.multi_summary(docs)
