@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import re
+import tempfile
+from array import array
 from collections import Counter
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from typing import BinaryIO
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import STOP_WORDS, position_score, sentence_length_score, sentences, tokens
+from ..plans.lineage import bound_batches
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -92,80 +98,133 @@ def _tokens(text: str) -> list[str]:
 _STOP = frozenset(STOP_WORDS)
 
 
-def multi_summary(texts: list[str], length: int = 5, least: float = 0.2) -> list[str]:
+#: counters for words by hash, which tell words that occur in one sentence only
+_COUNTERS = 1 << 24
+
+
+def multi_summary(texts: Iterable[str], length: int = 5, least: float = 0.2) -> list[str]:
     """Sentences join, in order, the cluster with the highest average cosine (at least ``least``; of
     equal ones the later); of each of the largest clusters the sentence with the best average
-    similarity, less its distance from 20 words, over its position."""
-    rows = [(s, k) for t in texts for k, s in enumerate((x for x in re.split(r"(?<=[.!?])\s+", t.strip()) if x), 1)]
-    words = [_tokens(s) for s, _ in rows]
-    # sums of unit vectors by word: of each word, the clusters that have it and how much, so that only
-    # what is there takes memory and time
-    units: list[dict[str, float]] = []
-    for ws in words:
-        counts = Counter(ws)
+    similarity, less its distance from 20 words, over its position.
+
+    Texts are read once and may be a stream. Sentences go to a file; what is kept in memory is
+    numbers: the words of sentences, and for each word the clusters that have it and how much, in
+    places as many as there are sentences with it. Words of one sentence meet no other, so they get
+    none."""
+    with tempfile.TemporaryFile() as file:
+        return _multi_summary(texts, length, least, file)
+
+
+def _multi_summary(texts: Iterable[str], length: int, least: float, file: BinaryIO) -> list[str]:
+    starts, orders = array("q", [0]), array("i")
+    seen = np.zeros(_COUNTERS, np.uint8)
+    for t in texts:
+        for k, s in enumerate((x for x in re.split(r"(?<=[.!?])\s+", t.strip()) if x), 1):
+            data = s.encode("utf-8", "surrogatepass")
+            file.write(data)
+            starts.append(starts[-1] + len(data))
+            orders.append(k)
+            at = np.fromiter({hash(w) % _COUNTERS for w in _tokens(s)}, np.int64)
+            seen[at] = np.minimum(seen[at] + 1, 2)
+    # a word that may be in several sentences has a number, any other a negative one by its place
+    numbers: dict[str, int] = {}
+    room = array("i")
+    words, ends = array("i"), array("q", [0])
+    file.seek(0)
+    for r in range(len(orders)):
+        ws = _tokens(file.read(starts[r + 1] - starts[r]).decode("utf-8", "surrogatepass"))
+        lone: dict[str, int] = {}
+        for w in ws:
+            words.append((numbers.setdefault(w, len(numbers)) if seen[hash(w) % _COUNTERS] > 1 else lone.setdefault(w, -1 - len(lone))))
+        room.extend([0] * (len(numbers) - len(room)))
+        for w in set(words[ends[-1] :]):
+            if w >= 0:
+                room[w] += 1
+        ends.append(len(words))
+    del numbers, seen
+
+    def unit(r: int) -> dict[int, float]:
+        counts = Counter(words[ends[r] : ends[r + 1]])
         norm = np.sqrt(np.float32(sum(n * n for n in counts.values())))
-        units.append({w: float(np.float32(n) / norm) for w, n in counts.items()})
-    posts: dict[str, list] = {}  # word: clusters, sums, how many
-    places: list[dict[str, int]] = []  # of each cluster, where its words are in ``posts``
-    members: list[list[int]] = []
-    sizes, blank = np.ones(len(rows)), np.zeros(len(rows), bool)
-    for r, unit in enumerate(units):
-        n, at = len(members), None
-        if n and unit:
-            sims = np.zeros(n)
-            for w, u in unit.items():
-                if w in posts:
-                    found, sums, k = posts[w]
-                    sims[found[:k]] += sums[:k] * u
-            sims /= sizes[:n]
-            sims[blank[:n]] = -np.inf
-            first = int(sims.argmax())
-            if sims[first] >= least - 1e-9:
-                best, at = sims[first], first
-                for k in first + 1 + np.flatnonzero(sims[first + 1 :] >= best - 1e-6):
-                    if sims[k] >= best - 1e-9:
-                        best, at = sims[k], int(k)
-        if at is None:
-            at = n
-            members.append([])
-            places.append({})
-            blank[at] = not unit
-        members[at].append(r)
-        sizes[at] = len(members[at])
-        for w, u in unit.items():
-            place = places[at].get(w)
-            if place is None:
-                post = posts.setdefault(w, [np.zeros(1, np.int32), np.zeros(1), 0])
-                place = places[at][w] = post[2]
-                if place == len(post[0]):
-                    post[0], post[1] = np.resize(post[0], 2 * place), np.resize(post[1], 2 * place)
-                post[0][place], post[1][place] = at, 0.0
-                post[2] += 1
-            posts[w][1][place] += u
+        return {w: float(np.float32(n) / norm) for w, n in counts.items()}
+
+    # sums of unit vectors by word, one word after the other
+    first = np.concatenate([[0], np.cumsum(np.frombuffer(room, np.int32), dtype=np.int64)]) if room else np.zeros(1, np.int64)
+    del room
+    found, sums, used = np.zeros(first[-1], np.int32), np.zeros(first[-1]), np.zeros(len(first) - 1, np.int32)
+    n = len(orders)
+    joined, sizes, sims, blank = np.zeros(n, np.int32), np.zeros(n), np.zeros(n), np.zeros(n, bool)
+    clusters = 0
+    for r in range(n):
+        vector, at = unit(r), None
+        posts = [(w, u, slice(first[w], first[w] + used[w])) for w, u in vector.items() if w >= 0 and used[w]]
+        if posts or (vector and clusters and least <= 1e-9):
+            near = [found[span] for _, _, span in posts]
+            for on, (_, u, span) in zip(near, posts):
+                sims[on] += sums[span] * u
+            # clusters without any of the words are at 0, which counts only where the limit is no higher
+            on = np.concatenate(near) if least > 1e-9 else np.flatnonzero(~blank[:clusters])
+            values = sims[on] / sizes[on]
+            sims[on] = 0.0
+            if len(on) and (best := values.max()) >= least - 1e-9:
+                close, where = np.unique(on[values >= best - 1e-6], return_index=True)
+                values = values[values >= best - 1e-6][where]
+                k = int(values.argmax())
+                at = int(close[k])
+                for k in range(k + 1, len(close)):
+                    if values[k] >= best - 1e-9:
+                        best, at = values[k], int(close[k])
+        fresh = at is None
+        if fresh:
+            at, clusters = clusters, clusters + 1
+            blank[at] = not vector
+        joined[r] = at
+        sizes[at] += 1
+        for w, u in vector.items():
+            if w < 0:
+                continue
+            low, k = first[w], used[w]
+            hit = -1 if fresh or not k else int((found[low : low + k] == at).argmax())
+            if hit >= 0 and found[low + hit] == at:
+                sums[low + hit] += u
+            else:
+                found[low + k], sums[low + k], used[w] = at, u, k + 1
     out = []
-    for k in sorted(range(len(members)), key=lambda k: -len(members[k]))[:length]:
-        best, chosen = 0.0, ""
-        for r in members[k]:
-            if not units[r]:
+    for k in np.argsort(-sizes[:clusters], kind="stable")[:length]:
+        best, chosen = 0.0, None
+        for r in np.flatnonzero(joined == k):
+            vector = unit(r)
+            if not vector:
                 continue
-            similarity = sum(u * posts[w][1][places[k][w]] for w, u in units[r].items()) / len(members[k])
-            score = (similarity - abs(20 - len(words[r])) / 20 / 2) / rows[r][1]
+            # a word of one sentence adds its own square
+            parts = (u * (u if w < 0 else sums[first[w] + np.flatnonzero(found[first[w] : first[w] + used[w]] == k)[0]]) for w, u in vector.items())
+            similarity = sum(parts) / sizes[k]
+            score = (similarity - abs(20 - (ends[r + 1] - ends[r])) / 20 / 2) / orders[r]
             if score >= best:
-                best, chosen = score, rows[r][0]
-        out.append(chosen)
+                best, chosen = score, r
+        if chosen is None:
+            out.append("")
+            continue
+        file.seek(starts[chosen])
+        out.append(file.read(starts[chosen + 1] - starts[chosen]).decode("utf-8", "surrogatepass"))
     return out
 
 
 def multi_summarize(members: DataFrame, cluster: str, id_col: str, text_col: str = "text", length: int = 5) -> DataFrame:
-    """(cluster, rank, sentence). Sequential within a cluster by definition, so each cluster is one
-    group in pandas; clusters run in parallel."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = pdf.sort_values(id_col)[text_col].fillna("").tolist()
-        found = multi_summary(texts, length)
-        return pd.DataFrame({cluster: [pdf[cluster].iloc[0]] * len(found), "rank": range(1, len(found) + 1), "sentence": found})
-
-    return members.select(cluster, id_col, text_col).groupBy(cluster).applyInPandas(run, f"{cluster} long, rank int, sentence string")
+    """(cluster, rank, sentence). Sequential within a cluster by definition, so a cluster is in one
+    task, which reads its members in order as a stream; clusters run in parallel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((c, t) for batch in batches for c, t in zip(batch.column(0).to_pylist(), batch.column(1)))
+        for c, group in groupby(rows, lambda row: row[0]):
+            found = multi_summary((t.as_py() or "" for _, t in group), length)
+            yield pa.RecordBatch.from_pydict({cluster: pa.array([c] * len(found), pa.int64()), "rank": pa.array(range(1, len(found) + 1), pa.int32()), "sentence": pa.array(found, pa.string())})
+
+    bound_batches(members)
+    parts = max(200, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # by number, so that small ones aren't put together: their time isn't small
+    # by a hash that no join before it can have as its key: a join's own partitions might be split by their size
+    ordered = members.select(F.col(cluster).cast("long").alias(cluster), id_col, text_col).repartition(parts, F.xxhash64(cluster)).sortWithinPartitions(cluster, id_col)
+    return ordered.select(cluster, text_col).mapInArrow(run, f"{cluster} long, rank int, sentence string")
 
 
 def cluster_summary(members: DataFrame, cluster: str, id_col: str = "id", title_col: str = "title", text_col: str = "text") -> DataFrame:

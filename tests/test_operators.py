@@ -161,6 +161,39 @@ def test_summary(spark):
     assert [x for x in got if x[0] == 1] == [(1, k) for k in range(1, 6)]
 
 
+def test_multi_summary_is_what_it_was_in_memory():
+    import hashlib
+    import random
+
+    rnd = random.Random(7)
+    words = [f"w{k}" for k in range(12)] + ["the", "of", "", ".", "...", "?"]
+    got = []
+    for least in (0.0, 0.2, 0.5) * 40:
+        texts = [" ".join((". " if rnd.random() < 0.25 else "") + rnd.choice(words) for _ in range(rnd.randrange(40))) for _ in range(rnd.randrange(12))]
+        got.append(summarize.multi_summary(iter(texts), 5, least))
+    assert hashlib.md5(repr(got).encode()).hexdigest() == "f4469034427b2f82e5d3712c5a4bb1af"  # of the results before it became a stream
+
+
+def test_a_cluster_is_summarised_once_however_joins_are_split(spark):
+    wanted = {
+        "spark.sql.shuffle.partitions": "200",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "0.1",
+    }
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        rows = spark.range(0, 4000, 1, 8).selectExpr("id % 2 as event_id", "id", "'t' as title", "concat('Same words of every text. ', sha2(string(id), 512)) as text")
+        got = [r[:2] for r in summarize.cluster_summary(rows, "event_id").collect()]
+        assert len(got) == len(set(got)) == 10
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_sentences_of_odd_texts_equal_their_sql(spark, tmp_path):
     import duckdb
 
