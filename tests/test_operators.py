@@ -194,6 +194,17 @@ def test_a_cluster_is_summarised_once_however_joins_are_split(spark):
             spark.conf.set(k, v)
 
 
+def test_multi_summary_holds_no_texts():
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        got = summarize.multi_summary(" ".join(f"{k * 30 + i:012x}" for i in range(30)) + "." for k in range(3000))
+        assert len(got) == 5 and tracemalloc.get_traced_memory()[1] < 30 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_sentences_of_odd_texts_equal_their_sql(spark, tmp_path):
     import duckdb
 
