@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import STOP_WORDS, position_score, sentence_length_score, sentences, tokens
-from ..plans.lineage import bound_batches
+from ..plans.lineage import bound_batches, materialise
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -239,6 +239,7 @@ def cluster_summary(members: DataFrame, cluster: str, id_col: str = "id", title_
 def provenance(summaries: DataFrame, members: DataFrame, cluster: str, id_col: str = "id") -> DataFrame:
     """Each summary sentence with the first member that contains it: an equi-join on the cluster,
     so that the test for containment never runs over all pairs."""
+    summaries = materialise(summaries, "summaries")  # else they would be made for each join
     m = members.select(cluster, F.col(id_col).alias("member"), F.concat_ws(" ", "title", "text").alias("whole"), "source", "ext_url")
     hit = summaries.join(m, cluster).filter(F.contains("whole", "sentence")).groupBy(cluster, "rank").agg(F.min_by(F.struct("member", "source", "ext_url"), "member").alias("from"))
     return summaries.join(hit, [cluster, "rank"], "left").select(cluster, "rank", "sentence", "from.member", "from.source", "from.ext_url")
