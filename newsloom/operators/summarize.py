@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 import tempfile
 from array import array
@@ -12,8 +13,10 @@ from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..functions.text import STOP_WORDS, position_score, sentence_length_score, sentences, tokens
@@ -22,15 +25,58 @@ from ..plans.lineage import bound_batches, materialise
 _WORD = re.compile(r"[^\W_]+")
 
 
+def _total(text: Column) -> Column:
+    return F.size(F.filter(F.split(F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}_ ]", "")), " +"), lambda w: F.length(w) > 0))
+
+
+def _repeated(docs: DataFrame, id_col: str) -> DataFrame | None:
+    """(id) of the documents whose id others have too, or nothing."""
+    ids = materialise(docs.select(F.col(id_col).alias("id")).groupBy("id").count().filter("count > 1").select("id"), "repeated")
+    return ids if ids.take(1) else None
+
+
+def _most_frequent(doc: np.ndarray, code: np.ndarray, words: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, word, n) of each document's k most frequent words, ties in alphabetical order."""
+    key, n = np.unique(doc * max(1, len(words)) + code, return_counts=True)
+    doc, code = np.divmod(key, max(1, len(words)))
+    place = np.empty(len(words), np.int64)
+    place[pc.sort_indices(words).to_numpy()] = np.arange(len(words))
+    order = np.lexsort((place[code], -n, doc))
+    doc, code, n = doc[order], code[order], n[order]
+    best = np.arange(len(doc)) - np.searchsorted(doc, doc) < k
+    return doc[best], code[best], n[best]
+
+
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+
+
 def keywords(docs: DataFrame, id_col: str = "id", text_col: str = "text", k: int = 10) -> DataFrame:
     """(id, word, weight): the k most frequent words without stop words, ties in alphabetical order;
-    1.5 times the share of all words, plus 1."""
-    total = F.size(F.filter(F.split(F.trim(F.regexp_replace(text_col, r"[^\p{L}\p{N}_ ]", "")), " +"), lambda w: F.length(w) > 0))
+    1.5 times the share of all words, plus 1. A document is counted where it is; only those that
+    have an id in common are counted together, by a shuffle of their words."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            encoded = lists.flatten().dictionary_encode()
+            doc = np.repeat(np.arange(batch.num_rows), _lengths(lists))
+            doc, code, n = _most_frequent(doc, encoded.indices.to_numpy().astype(np.int64), encoded.dictionary, k)
+            at = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), encoded.dictionary.take(pa.array(code)), pa.array(n, pa.int64()), batch.column(1).take(at)], ["id", "word", "n", "total"])
+
+    bound_batches(docs)
     # the total is made before the words are exploded: beside explode it would be made for each word
-    totals = docs.select(F.col(id_col).alias("id"), total.alias("total"), tokens(F.col(text_col)).alias("words"))
-    words = totals.select("id", "total", F.explode("words").alias("word"))
-    counts = words.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"), F.first("total").alias("total"))
-    best = counts.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.col("n").desc(), "word"))).filter(F.col("rank") <= k)
+    totals = docs.select(F.col(id_col).alias("id"), _total(F.col(text_col)).alias("total"), tokens(F.col(text_col)).alias("words"))
+    repeated = _repeated(docs, id_col)
+    alone = totals if repeated is None else totals.alias("t").join(repeated.alias("r"), F.expr("t.id <=> r.id"), "left_anti")
+    best = alone.mapInArrow(run, f"id {kind}, word string, n long, total int")
+    if repeated is not None:
+        words = totals.alias("t").join(repeated.alias("r"), F.expr("t.id <=> r.id"), "left_semi").select("id", "total", F.explode("words").alias("word"))
+        counts = words.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"), F.first("total").alias("total"))
+        most = counts.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.col("n").desc(), "word"))).filter(F.col("rank") <= k)
+        best = best.unionByName(most.drop("rank"))
     return best.select("id", "word", (F.col("n") / F.col("total") * 1.5 + 1).alias("weight"))
 
 

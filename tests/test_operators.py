@@ -161,6 +161,30 @@ def test_summary(spark):
     assert [x for x in got if x[0] == 1] == [(1, k) for k in range(1, 6)]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def some_texts(spark):
+    texts = ["Cats and dogs run. Dogs sleep! Dogs eat cats? Cats and dogs run.", "", None, "x.", "Birds fly high. The birds of prey fly; birds sing.\nFish swim. " * 3, "...", "a b c d e f g h i j k l m n o p"]
+    return spark.createDataFrame([(i, t and t.split(".")[0], t) for i, t in enumerate(texts)], "id long, title string, text string").coalesce(1)
+
+
+def test_keywords_are_counted_where_documents_are(spark):
+    docs = some_texts(spark)
+    got = summarize.keywords(docs)
+    assert "Exchange" not in plan_of(got)
+    dogs = [r for r in values(got, "id", "word", "weight") if r[0] == 0]
+    assert dogs == [(0, "cats", 3 / 13 * 1.5 + 1), (0, "dogs", 4 / 13 * 1.5 + 1), (0, "eat", 1 / 13 * 1.5 + 1), (0, "run", 2 / 13 * 1.5 + 1), (0, "sleep", 1 / 13 * 1.5 + 1)]
+    assert [r[1] for r in values(got, "id", "word") if r[0] == 6] == list("bcdefghijk")
+
+
+def test_keywords_of_repeated_ids_are_counted_together(spark):
+    docs = spark.createDataFrame([(1, "red red blue"), (1, "blue blue green"), (2, "red"), (None, "sun moon sun"), (None, "moon moon sun")], "id long, text string")
+    got = sorted(((r.id is None, r.id or 0, r.word, r.weight) for r in summarize.keywords(docs).collect()))
+    assert got == [(False, 1, "blue", 2.5), (False, 1, "green", 1.5), (False, 1, "red", 2.0), (False, 2, "red", 2.5), (True, 0, "moon", 2.5), (True, 0, "sun", 2.5)]
+
+
 def test_multi_summary_is_what_it_was_in_memory():
     import hashlib
     import random
