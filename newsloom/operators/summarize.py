@@ -80,44 +80,75 @@ def keywords(docs: DataFrame, id_col: str = "id", text_col: str = "text", k: int
     return best.select("id", "word", (F.col("n") / F.col("total") * 1.5 + 1).alias("weight"))
 
 
-def sentence_rows(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, pos from 1, n, sentence, words) of each document."""
-    split = docs.select(F.col(id_col).alias("id"), sentences(F.col(text_col)).alias("all"))
-    each = split.select("id", F.size("all").alias("n"), F.posexplode("all").alias("pos", "sentence"))
-    return each.select("id", (F.col("pos") + 1).alias("pos"), "n", "sentence", tokens(F.col("sentence")).alias("words"))
+def _measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each sentence, from (id, total, title, all, words) of documents: sums over its words
+    that are keywords of its document, or in its title."""
+    for batch in batches:
+        ids, total, titles, split, lists = batch.columns
+        n = _lengths(split)
+        inner = lists.flatten()
+        words = _lengths(inner)
+        rows = len(words)
+        doc = np.repeat(np.arange(batch.num_rows), n)
+        pos = np.arange(rows) - np.repeat(np.cumsum(n) - n, n) + 1
+        in_text, in_title = inner.flatten(), titles.flatten()
+        # empty arrays from the JVM may have no offsets, which can't be put together
+        encoded = pa.concat_arrays([x for x in (in_text, in_title) if len(x)] or [pa.array([], pa.string())]).dictionary_encode()
+        codes, base = encoded.indices.to_numpy().astype(np.int64), max(1, len(encoded.dictionary))
+        code, title = codes[: len(in_text)], codes[len(in_text) :]
+        title_size = _lengths(titles)
+        sentence = np.repeat(np.arange(rows), words)
+        key = doc[sentence] * base + code
+        d, c, count = _most_frequent(doc[sentence], code, encoded.dictionary, 10)
+        order = np.argsort(d * base + c)
+        known = (d * base + c)[order]
+        weight = (count / total.fill_null(1).to_numpy()[d] * 1.5 + 1)[order]
+        place = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
+        at = np.flatnonzero(known[place] == key) if len(known) else np.zeros(0, np.int64)  # the words that are keywords
+        of, w = sentence[at], weight[place[at]]
+        follows = of[1:] == of[:-1]
+        pair = (w[1:] * w[:-1] / (np.diff(at).astype(np.float64) ** 2))[follows]
+        titled = np.isin(key, np.repeat(np.arange(batch.num_rows), title_size) * base + title)
+        size = title_size[doc]
+        yield pa.RecordBatch.from_arrays(
+            [
+                ids.take(pa.array(doc)),
+                pa.array(pos, pa.int32()),
+                pa.array(n[doc], pa.int32()),
+                split.flatten(),
+                pa.array(words, pa.int32()),
+                pa.array(np.bincount(sentence[titled], minlength=rows), pa.int64()),
+                pa.array(size, pa.int64(), mask=size == 0),
+                pa.array(np.bincount(of, w, rows).astype(np.float64)),
+                pa.array(np.bincount(of[1:][follows], pair, rows).astype(np.float64)),
+                pa.array(np.bincount(np.unique(of * base + code[at]) // base, minlength=rows) + 1, pa.int64()),
+            ],
+            ["id", "pos", "n", "sentence", "words", "in_title", "title_size", "weights", "pairs", "k"],
+        )
 
 
 def sentence_features(docs: DataFrame, id_col: str = "id", title_col: str = "title", text_col: str = "text") -> DataFrame:
-    """(id, pos, n, sentence, words, title_score, length_score, position_score, sbs, dbs).
-
-    A row for each word meets the document's keywords and its title's words by equi-joins on the
-    document and the word, so long sentences and titles cost no more than their length."""
-    rows = sentence_rows(docs, id_col, text_col)
-    words = rows.select("id", "pos", F.posexplode("words").alias("i", "word"))
-    title = docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(title_col))).alias("word"))
-    title_size = title.groupBy("id").agg(F.count(F.lit(1)).alias("title_size"))
-    found = words.join(keywords(docs, id_col, text_col), ["id", "word"], "left").join(title.distinct().withColumn("in_title", F.lit(1)), ["id", "word"], "left")
-    before = F.last(F.when(F.col("weight").isNotNull(), F.struct("i", "weight")), ignorenulls=True).over(Window.partitionBy("id", "pos").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
-    pair = F.col("weight") * F.col("before.weight") / F.pow(F.col("i") - F.col("before.i"), F.lit(2))
-    sums = found.withColumn("before", before).groupBy("id", "pos").agg(
-        F.count("in_title").alias("in_title"),
-        F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weights"),
-        F.coalesce(F.sum(pair), F.lit(0.0)).alias("pairs"),
-        (F.count_distinct(F.when(F.col("weight").isNotNull(), F.col("word"))) + 1).alias("k"),
-    )
-    every = rows.select("id", "pos", "n", "sentence", F.size("words").alias("words")).join(sums, ["id", "pos"], "left").join(title_size, "id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    """(id, pos, n, sentence, words, title_score, length_score, position_score, sbs, dbs), the rows of
+    a document one after the other.
+
+    All of it is of one document, so there is no shuffle: keywords and title words are looked up by
+    number within a batch of documents, which is bounded."""
+    bound_batches(docs)
+    split = docs.select(F.col(id_col).alias("id"), _total(F.col(text_col)).alias("total"), tokens(F.col(title_col)).alias("title"), sentences(F.col(text_col)).alias("all"))
+    each = split.select("id", "total", "title", "all", F.transform("all", tokens).alias("words"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    every = each.mapInArrow(_measures, f"id {kind}, pos int, n int, sentence string, words int, in_title long, title_size long, weights double, pairs double, k long")
     return every.select(
         "id",
         "pos",
         "n",
         "sentence",
         "words",
-        (F.coalesce("in_title", F.lit(0)) / F.col("title_size")).alias("title_score"),
+        (F.col("in_title") / F.col("title_size")).alias("title_score"),
         sentence_length_score(F.col("words")).alias("length_score"),
         position_score(F.col("pos"), F.col("n")).alias("position_score"),
-        zero(F.try_divide("weights", "words") / 10).alias("sbs"),
-        zero(F.col("pairs") / (F.col("k") * (F.col("k") + 1))).alias("dbs"),
+        F.coalesce(F.try_divide("weights", "words") / 10, F.lit(0.0)).alias("sbs"),
+        (F.col("pairs") / (F.col("k") * (F.col("k") + 1))).alias("dbs"),
     )
 
 

@@ -185,6 +185,14 @@ def test_keywords_of_repeated_ids_are_counted_together(spark):
     assert got == [(False, 1, "blue", 2.5), (False, 1, "green", 1.5), (False, 1, "red", 2.0), (False, 2, "red", 2.5), (True, 0, "moon", 2.5), (True, 0, "sun", 2.5)]
 
 
+def test_sentence_features_need_no_shuffle(spark):
+    got = summarize.sentence_features(some_texts(spark))
+    assert "Exchange" not in plan_of(got)
+    row = [r for r in got.collect() if (r.id, r.pos) == (0, 1)][0]
+    dogs, cats, run = (n / 13 * 1.5 + 1 for n in (4, 3, 2))
+    assert row.title_score == 1.0 and row.words == 3 and row.sbs == pytest.approx((dogs + cats + run) / 3 / 10) and row.dbs == pytest.approx((cats * dogs + dogs * run) / (4 * 5))
+
+
 def test_multi_summary_is_what_it_was_in_memory():
     import hashlib
     import random
