@@ -161,11 +161,40 @@ def sentence_scores(docs: DataFrame, id_col: str = "id", title_col: str = "title
 
 def summarize(docs: DataFrame, id_col: str = "id", title_col: str = "title", text_col: str = "text", length: int = 5) -> DataFrame:
     """(id, rank, sentence, score): the best sentences in order of rank. Equal sentences are one,
-    with the score of the last; ties go to the earlier one."""
-    scored = sentence_scores(docs, id_col, title_col, text_col)
-    one = scored.groupBy("id", "sentence").agg(F.max_by("score", "pos").alias("score"), F.min("pos").alias("pos"))
-    ranked = one.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.col("score").desc(), "pos")))
-    return ranked.filter(F.col("rank") <= length).select("id", "rank", "sentence", "score")
+    with the score of the last; ties go to the earlier one. The sentences of a document come one
+    after the other, so the best are taken as they come; only documents that have an id in common
+    are put together, by a shuffle of their best."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = pa.schema([("id", to_arrow_type(docs.schema[id_col].dataType)), ("rank", pa.int32()), ("sentence", pa.string()), ("score", pa.float64()), ("pos", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        of, one = None, {}
+
+        def close() -> None:
+            best = heapq.nsmallest(length, one.items(), key=lambda x: (-x[1][0], x[1][1]))
+            rows.extend((of, rank, sentence, score, pos) for rank, (sentence, (score, pos)) in enumerate(best, 1))
+
+        for batch in batches:
+            for doc, pos, sentence, score in zip(*(c.to_pylist() for c in batch.columns)):
+                if pos == 1:
+                    close()
+                    of, one = doc, {}
+                one[sentence] = (score, one[sentence][1] if sentence in one else pos)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
+            rows.clear()
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
+
+    scored = sentence_scores(docs, id_col, title_col, text_col).select("id", "pos", "sentence", "score")
+    best = scored.mapInArrow(run, f"id {kind}, rank int, sentence string, score double, pos int")
+    repeated = _repeated(docs, id_col)
+    if repeated is not None:
+        some = best.alias("t").join(repeated.alias("r"), F.expr("t.id <=> r.id"), "left_semi")
+        one = some.groupBy("id", "sentence").agg(F.max_by("score", F.struct("pos", "score")).alias("score"), F.min("pos").alias("pos"))
+        ranked = one.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.col("score").desc(), "pos", "sentence")))
+        best = best.alias("t").join(repeated.alias("r"), F.expr("t.id <=> r.id"), "left_anti").unionByName(ranked.filter(F.col("rank") <= length))
+    return best.select("id", "rank", "sentence", "score")
 
 
 def _tokens(text: str) -> list[str]:

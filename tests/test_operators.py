@@ -185,6 +185,22 @@ def test_keywords_of_repeated_ids_are_counted_together(spark):
     assert got == [(False, 1, "blue", 2.5), (False, 1, "green", 1.5), (False, 1, "red", 2.0), (False, 2, "red", 2.5), (True, 0, "moon", 2.5), (True, 0, "sun", 2.5)]
 
 
+@pytest.mark.parametrize("batch", ["1", "2", "10000"])
+def test_summaries_need_no_shuffle_and_take_documents_over_batches(spark, batch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, batch)
+        want = [(0, 1, 'Cats and dogs run.'), (0, 2, 'Dogs eat cats?'), (3, 1, 'x.'), (4, 1, 'The birds of prey fly; birds sing.'), (4, 2, 'Birds fly high.'), (5, 1, '...'), (6, 1, 'a b c d e f g h i j k l m n o p')]
+        got = summarize.summarize(some_texts(spark), length=2)
+        assert "Exchange" not in plan_of(got)
+        assert [(r.id, r.rank, r.sentence) for r in sorted(got.collect())] == want
+        docs = some_texts(spark)
+        assert [(r.id, r.rank, r.sentence) for r in sorted(summarize.summarize(docs.union(docs), length=2).collect())] == want
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_sentence_features_need_no_shuffle(spark):
     got = summarize.sentence_features(some_texts(spark))
     assert "Exchange" not in plan_of(got)
