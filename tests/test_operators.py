@@ -242,6 +242,19 @@ def test_a_cluster_is_summarised_once_however_joins_are_split(spark):
             spark.conf.set(k, v)
 
 
+def test_provenance_makes_summaries_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    summaries = spark.range(3).selectExpr("id as event_id", "1 as rank", "'cats' as sentence").mapInArrow(run, "event_id long, rank int, sentence string")
+    members = spark.range(3).selectExpr("id as event_id", "id", "'t' as title", "'cats run' as text", "'s' as source", "'u' as ext_url")
+    assert values(summarize.provenance(summaries, members, "event_id"), "event_id", "member") == [(0, 0), (1, 1), (2, 2)] and made.value == 3
+
+
 def test_multi_summary_holds_no_texts():
     import tracemalloc
 
